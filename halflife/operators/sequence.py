@@ -91,3 +91,34 @@ def time_slices(df: DataFrame, ts: str, target_rows: int = 2_000_000) -> DataFra
         F.timestamp_diff("MICROSECOND", F.col("__hl_t0"), F.col(ts)) / F.col("__hl_width")
     ).cast("bigint")
     return out.withColumn("__hl_slice", slice_).drop("__hl_t0", "__hl_width")
+
+
+def fill_forward_in_buckets(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    value: str,
+    bucket: Column,
+    out: str,
+) -> DataFrame:
+    """Add ``out``: the last non-null ``value`` at or before each row in
+    ``order`` within ``keys`` (``last(value, ignorenulls)`` over a running
+    frame), computed per (key, bucket) with a carry from earlier buckets.
+    """
+    keys, order = list(keys), list(order)
+    rank = F.struct(*[F.col(o) for o in order])
+    staged = df.withColumn(_B, bucket)
+    w = (
+        Window.partitionBy(*keys, _B)
+        .orderBy(*[F.col(o).asc_nulls_first() for o in order])
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    )
+    marked = staged.withColumn(_N, F.last(value, ignorenulls=True).over(w))
+    # Every bucket gets a row (null when it has no value), so the carry reaches
+    # buckets without values too.
+    last_in_bucket = F.max(F.when(F.col(value).isNotNull(), F.struct(rank.alias("r"), F.col(value).alias("v"))))
+    per_bucket = staged.groupBy(*keys, _B).agg(last_in_bucket.getField("v").alias(_E))
+    wb = Window.partitionBy(*keys).orderBy(F.col(_B).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    per_bucket = per_bucket.select(*keys, _B, F.last(_E, ignorenulls=True).over(wb).alias(_E))
+    joined = marked.join(per_bucket, on=[*keys, _B], how="left")
+    return joined.select(*df.columns, F.coalesce(F.col(_N), F.col(_E)).alias(out))
