@@ -16,7 +16,9 @@ from pyspark.sql.types import DoubleType
 from halflife import plans as P
 from halflife.functions import scalars as S
 from halflife.sources import bindings as B
+from halflife.operators import ingest as I
 from halflife.sources.lifecycle import to_lifecycle_text
+from halflife.sources.patch_log import events_alias_map, render_events_log, stage_patch_log
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-01-01"
@@ -101,6 +103,45 @@ def _q_history_summary(spark, d):
     return P.history_summary(B.parts_files(spark, d))
 
 
+def _events_log(spark, d):
+    """The events table rendered as a patch log, written and read back."""
+    return stage_patch_log(render_events_log(spark, d))
+
+
+def _q_line_lifecycle(spark, d):
+    """Log -> roster -> alias map -> replayed line lifecycle."""
+    log = _events_log(spark, d)
+    alias = events_alias_map(I.author_roster(I.commits(log)))
+    return I.line_lifecycle(log, alias)
+
+
+def _q_patch_hunks(spark, d):
+    hk = I.hunks(I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d)))))
+    return hk.select("new_path", "author", "committed", "kind", "start", "lines_added", "lines_removed")
+
+
+def _q_file_identity(spark, d):
+    diffs = I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d))))
+    _, files = I.file_identity(diffs)
+    return files.select("path", "added", "removed")
+
+
+def _q_author_roster(spark, d):
+    return I.author_roster(I.commits(_events_log(spark, d)))
+
+
+def _q_alias_resolution(spark, d):
+    cm = I.commits(_events_log(spark, d))
+    resolved = I.resolve_aliases(cm, events_alias_map(I.author_roster(cm)))
+    return resolved.groupBy("author").agg(F.count(F.lit(1)).alias("commits"))
+
+
+def _q_history_summary_log(spark, d):
+    diffs = I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d))))
+    _, files = I.file_identity(diffs)
+    return P.history_summary(files, I.history_bounds(diffs, files))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "clean_int": _q_clean_int,
@@ -124,6 +165,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_population": _q_file_population(False),
         "file_population_corrected": _q_file_population(True),
         "history_summary": _q_history_summary,
+        "patch_hunks": _q_patch_hunks,
+        "author_roster": _q_author_roster,
+        "alias_resolution": _q_alias_resolution,
+        "file_identity": _q_file_identity,
+        "history_summary_log": _q_history_summary_log,
+        "line_lifecycle": _q_line_lifecycle,
     }
     return q
 
@@ -195,6 +242,13 @@ life AS (
 )"""
 )
 
+_LOG_EVENTS = """WITH ev AS (
+  SELECT *, event_type || '/' || json_extract_string(props, '$.k')
+           || CASE WHEN event_type IN ('click', 'view') THEN '.java' ELSE '.py' END AS path,
+         lag(event_id) OVER (PARTITION BY event_type, props ORDER BY ts, event_id) AS prev_id
+  FROM events
+)"""
+
 _PARTS = """WITH files AS (
   SELECT l_partkey AS file_id, min(o_orderdate) AS added,
          CASE WHEN l_partkey % 5 = 0 THEN max(l_shipdate) END AS removed
@@ -523,4 +577,25 @@ FROM life GROUP BY 1, 2""",
         "file_population": _p7_sql(False),
         "file_population_corrected": _p7_sql(True),
         "history_summary": _p8_sql(),
+        "patch_hunks": _LOG_EVENTS
+        + """
+SELECT path AS new_path, 'u' || CAST(user_id AS VARCHAR) || '@example.org' AS author,
+       date_trunc('second', ts) AS committed, CASE WHEN prev_id IS NULL THEN 'C' ELSE 'M' END AS kind,
+       0 AS start, 1 AS lines_added, CASE WHEN prev_id IS NULL THEN 0 ELSE 1 END AS lines_removed
+FROM ev""",
+        "author_roster": """
+SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '@example.org' AS alias_from,
+       'u' || CAST(user_id AS VARCHAR) || '@example.org' AS alias_to
+FROM events""",
+        "alias_resolution": "SELECT 'u' || CAST(user_id AS VARCHAR) AS author, count(*) AS commits FROM events GROUP BY 1",
+        "file_identity": _LOG_EVENTS
+        + """
+SELECT path, min(date_trunc('second', ts)) AS added, CAST(NULL AS TIMESTAMP) AS removed
+FROM ev GROUP BY event_type, props, path""",
+        "history_summary_log": f"""
+WITH b AS (SELECT count(DISTINCT (event_type, props)) AS files, min(date_trunc('second', ts)) AS start,
+                  max(date_trunc('second', ts)) AS last_change FROM events)
+SELECT files, CAST(0 AS BIGINT) AS removed_files, start, last_change, {_days('start', 'last_change')} + 1 AS duration
+FROM b""",
+        "line_lifecycle": _EVENTS + "\nSELECT path, creator, remover, created, removed, lifespan FROM life",
     }
