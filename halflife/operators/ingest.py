@@ -46,6 +46,11 @@ def _nz(c: Column) -> Column:
 # ------------------------------------------------------------------ I1
 
 
+def _header(text: Column) -> Column:
+    """The commit header (sha, Author, Date, message): text before the first diff."""
+    return F.substring_index(text, "\ndiff --git ", 1)
+
+
 def author_of(text: Column) -> Column:
     """Lower-cased e-mail of the Author line, else the whole lower-cased text."""
     raw = F.lower(F.trim(F.regexp_extract(text, r"(?m)^Author: (.*)$", 1)))
@@ -54,21 +59,22 @@ def author_of(text: Column) -> Column:
 
 def commit_date_of(text: Column) -> Column:
     """The Date line's wall time (month, day, clock, year; offset dropped)."""
-    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(text, DATE_PATTERN, 1))
-    parts = [F.regexp_extract(text, DATE_PATTERN, i).try_cast("int") for i in (6, 2, 3, 4, 5)]
+    line = F.regexp_extract(text, r"(?m)^(Date:.*)$", 1)  # one scan; the groups then read one short line
+    month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(line, DATE_PATTERN, 1))
+    parts = [F.regexp_extract(line, DATE_PATTERN, i).try_cast("int") for i in (6, 2, 3, 4, 5)]
     year, day, hour, minute, second = parts
     return F.try_make_timestamp_ntz(year, month.cast("int"), day, hour, minute, second)
 
 
 def commits(log: DataFrame) -> DataFrame:
     """Seq, seq_bucket, sha, author, committed, text."""
-    text = F.col("text")
-    return log.select(
+    head = F.col("__head")
+    return log.withColumn("__head", _header(F.col("text"))).select(
         "seq",
         "seq_bucket",
-        F.regexp_extract(text, r"^(\S+)", 1).alias("sha"),
-        author_of(text).alias("author"),
-        commit_date_of(text).alias("committed"),
+        F.regexp_extract(head, r"^(\S+)", 1).alias("sha"),
+        author_of(head).alias("author"),
+        commit_date_of(head).alias("committed"),
         "text",
     )
 
@@ -185,7 +191,8 @@ def hunks(diffs: DataFrame) -> DataFrame:
 
 def author_roster(cm: DataFrame) -> DataFrame:
     """Distinct lower-cased author e-mails as identity pairs (alias_from, alias_to)."""
-    email = _nz(F.regexp_extract(F.lower(F.trim(F.regexp_extract("text", r"(?m)^Author: (.*)$", 1))), EMAIL_PATTERN, 1))
+    line = F.regexp_extract(_header(F.col("text")), r"(?m)^Author: (.*)$", 1)
+    email = _nz(F.regexp_extract(F.lower(F.trim(line)), EMAIL_PATTERN, 1))
     e = cm.select(email.alias("alias_from")).where(F.col("alias_from").isNotNull()).distinct()
     return e.select("alias_from", F.col("alias_from").alias("alias_to"))
 

@@ -20,6 +20,23 @@ from halflife.operators.sequence import shift_in_buckets, time_slices
 LIFECYCLE_COLUMNS = ["path", "creator", "remover", "created", "removed", "lifespan"]
 
 
+def stage(df: DataFrame, name: str = "table") -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint dir and read it back.
+
+    Reports branch several times over their input; reading a written lifecycle
+    table (pruned, filters pushed) is far cheaper than re-running the joins
+    that derive it, and the written table survives executor loss.
+    """
+    import uuid
+
+    from halflife.session import ensure_checkpoint_dir
+
+    spark = df.sparkSession
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -59,8 +76,9 @@ def orders_life_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders_life(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return with_lifespan(orders_life_raw(spark, sf_dir))
+def orders_life(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
+    raw = orders_life_raw(spark, sf_dir)
+    return with_lifespan(stage(raw, "orders_life") if staged else raw)
 
 
 def events_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,11 +112,12 @@ def events_life_raw(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_00
     )
 
 
-def events_life(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_000) -> DataFrame:
-    return with_lifespan(events_life_raw(spark, sf_dir, slice_rows))
+def events_life(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_000, staged: bool = True) -> DataFrame:
+    raw = events_life_raw(spark, sf_dir, slice_rows)
+    return with_lifespan(stage(raw, "events_life") if staged else raw)
 
 
-def parts_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+def parts_files(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
     """Parts as files: first order date adds, every fifth part is removed at its
     last ship date (FIXTURES §3.3).  Partial aggregation runs before the shuffle."""
     li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
@@ -108,8 +127,9 @@ def parts_files(spark: SparkSession, sf_dir: str) -> DataFrame:
         .groupBy("l_partkey")
         .agg(F.min("o_orderdate").alias("added"), F.max("l_shipdate").alias("__last_ship"))
     )
-    return g.select(
+    files = g.select(
         F.col("l_partkey").alias("file_id"),
         "added",
         F.when(F.col("l_partkey") % 5 == 0, F.col("__last_ship")).alias("removed"),
     )
+    return stage(files, "parts_files") if staged else files
