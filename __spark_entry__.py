@@ -142,6 +142,20 @@ def _q_history_summary_log(spark, d):
     return P.history_summary(files, I.history_bounds(diffs, files))
 
 
+def _q_author_rates_log(spark, d):
+    """P6 on the replayed lines of the log, lines of removed files included."""
+    log = _events_log(spark, d)
+    alias = events_alias_map(I.author_roster(I.commits(log)))
+    return P.author_change_rates(I.line_lifecycle(log, alias, include_removed_files=True))
+
+
+def _q_file_population_log(spark, d):
+    """P7 on the files of the log, bounded by its first add and last change."""
+    diffs = I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d))))
+    _, files = I.file_identity(diffs)
+    return P.file_population(files, I.history_bounds(diffs, files))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "clean_int": _q_clean_int,
@@ -171,6 +185,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_identity": _q_file_identity,
         "history_summary_log": _q_history_summary_log,
         "line_lifecycle": _q_line_lifecycle,
+        "author_rates_log": _q_author_rates_log,
+        "file_population_log": _q_file_population_log,
     }
     return q
 
@@ -460,7 +476,19 @@ FROM ev GROUP BY date, author"""
     )
 
 
-def _p7_sql(corrected: bool) -> str:
+_LOG_FILES = """WITH files AS (
+  SELECT min(date_trunc('second', ts)) AS added, CAST(NULL AS TIMESTAMP) AS removed
+  FROM events GROUP BY event_type, props
+),
+b AS (SELECT min(added) AS start, (SELECT max(date_trunc('second', ts)) FROM events) AS last_change FROM files)"""
+
+_PARTS_BOUNDS = (
+    _PARTS + """,
+b AS (SELECT min(added) AS start, greatest(max(added), max(removed)) AS last_change FROM files)"""
+)
+
+
+def _p7_sql(corrected: bool, files_and_bounds: str | None = None) -> str:
     """Brute force over days x files, as the reference loops (fine at sf0.01)."""
     exist = (
         "added < stamp AND (removed IS NULL OR removed >= stamp)"
@@ -472,9 +500,8 @@ def _p7_sql(corrected: bool) -> str:
     e_cols = ",\n  ".join(f"count(*) FILTER (WHERE {exist} AND eb = {i}) AS e{i + 1}" for i in range(10))
     r_cols = ",\n  ".join(f"count(*) FILTER (WHERE {gone} AND rb = {i}) AS r{i + 1}" for i in range(10))
     return (
-        _PARTS
+        (files_and_bounds or _PARTS_BOUNDS)
         + f""",
-b AS (SELECT min(added) AS start, greatest(max(added), max(removed)) AS last_change FROM files),
 cal AS (
   SELECT start, start - INTERVAL 1 DAY AS first_day,
          {_days("start - INTERVAL 1 DAY", "last_change + INTERVAL 1 DAY")} + 1 AS n_days FROM b
@@ -598,4 +625,6 @@ WITH b AS (SELECT count(DISTINCT (event_type, props)) AS files, min(date_trunc('
 SELECT files, CAST(0 AS BIGINT) AS removed_files, start, last_change, {_days('start', 'last_change')} + 1 AS duration
 FROM b""",
         "line_lifecycle": _EVENTS + "\nSELECT path, creator, remover, created, removed, lifespan FROM life",
+        "author_rates_log": _p6_sql(_EVENTS, False),
+        "file_population_log": _p7_sql(False, _LOG_FILES),
     }
