@@ -104,8 +104,9 @@ def _q_history_summary(spark, d):
 
 
 def _events_log(spark, d):
-    """The events table rendered as a patch log, written and read back."""
-    return stage_patch_log(render_events_log(spark, d))
+    """The events table rendered as a patch log, written once per application
+    and read back (S1): the log file every ingest query starts from."""
+    return stage_patch_log(render_events_log(spark, d), key=("events", d))
 
 
 def _q_line_lifecycle(spark, d):

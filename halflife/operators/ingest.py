@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from halflife.functions.scalars import lifespan_days
 from halflife.operators.joins import broadcast_if_small
 from halflife.operators.sequence import fill_forward_in_buckets, shift_in_buckets
-from halflife.session import ensure_checkpoint_dir
+from halflife.session import ensure_checkpoint_dir, stage
 
 # English month abbreviations of git's default date format.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
@@ -150,14 +150,14 @@ def _hunk_ops(hunk: Column) -> Column:
     new_start = F.regexp_extract(hunk, HUNK_PATTERN, 3).try_cast("int")
     new_count = F.coalesce(_nz(F.regexp_extract(hunk, HUNK_PATTERN, 4)).try_cast("int"), F.lit(1))
     start = F.when(new_count > 0, new_start - 1).otherwise(new_start)
-    body = F.slice(F.split(hunk, "\n"), 2, 1 << 30)
-    kept = F.filter(body, lambda x: ~x.startswith("\\"))
-    op = F.transform(
-        kept,
-        lambda x: F.when(x.startswith("+"), "+").when(x.startswith("-"), "-")
-        .when((x == "") | x.startswith(" ") | x.startswith("\t"), " ").otherwise(""),
-    )
-    return F.struct(F.greatest(start, F.lit(0)).alias("start"), F.array_join(op, "").alias("ops"))
+    # Per-line work as whole-string regex passes (no per-line lambdas):
+    # blank line -> context, each line -> its first character, tab -> context,
+    # then keep only '+', '-' and ' ' ('\\ No newline' and other lines drop out).
+    body = F.regexp_replace(hunk, r"^[^\n]*\n?", "")  # drop the '@@ ... @@' line
+    blank_as_context = F.regexp_replace(body, r"(?m)^$", " ")
+    firsts = F.regexp_replace(blank_as_context, r"(?m)^(.)[^\n]*\n?", "$1")
+    ops = F.regexp_replace(F.translate(firsts, "\t", " "), r"[^+\- ]", "")
+    return F.struct(F.greatest(start, F.lit(0)).alias("start"), ops.alias("ops"))
 
 
 def compact_diffs(diffs: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     * files: file_id, path (latest), added, removed (delete time or null).
     """
     ensure_checkpoint_dir(diffs.sparkSession)
-    ev = path_events(diffs).checkpoint()
+    ev = stage(path_events(diffs), "path_events")
     ev = shift_in_buckets(
         ev, keys=["path"], order=["seq", "phase", "dpos"], values=["ev"],
         bucket=F.col("seq_bucket"), direction=-1, prefix="prev_",
@@ -297,7 +297,7 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
         bucket=F.col("seq_bucket"), out="seg_start",
     )
     ev = ev.withColumn("seg", F.when(F.col("valid"), F.struct(F.col("path"), F.col("seg_start").alias("start"))))
-    ev = ev.checkpoint()
+    ev = stage(ev, "path_segments")
 
     begins = ev.where(F.col("__begin").isNotNull())
     ro = ev.where((F.col("ev") == "RO") & F.col("valid")).select(
@@ -306,7 +306,7 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = begins.join(ro, (begins["ev"] == "RI") & (begins["seq"] == ro["r_seq"]) & (begins["dpos"] == ro["r_dpos"]), "left")
     links = links.select("seg", "parent", "committed", "path")
     roots = _resolve_roots(links.select("seg", "parent"))
-    segs = links.join(roots, "seg").withColumn("file_id", F.md5(F.to_json(F.col("root")))).checkpoint()
+    segs = stage(links.join(roots, "seg").withColumn("file_id", F.md5(F.to_json(F.col("root")))), "segments")
 
     added = segs.where(F.col("seg") == F.col("root")).select("file_id", F.col("committed").alias("added"))
     latest = segs.groupBy("file_id").agg(F.max_by("path", F.col("seg.start")).alias("path"))
@@ -430,7 +430,7 @@ def line_lifecycle(
         cm = resolve_aliases(cm, alias)
     ensure_checkpoint_dir(cm.sparkSession)
     # Parse once; every later step reads this compact, lineage-free table.
-    diffs = compact_diffs(file_diffs(cm)).checkpoint()
+    diffs = stage(compact_diffs(file_diffs(cm)), "diffs")
     hk = hunks(diffs)
     diff_files, files = file_identity(diffs)
     lines = replay_lines(hk, diff_files).where(F.col("created").isNotNull())

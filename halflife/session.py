@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every halflife job assumes.  Timestamps are zone-less (TIMESTAMP_NTZ)
 # throughout, so the session zone only matters for display; UTC keeps any
@@ -51,3 +51,48 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
+
+
+_STAGED: dict[tuple, str] = {}
+
+
+def stage(df: DataFrame, name: str = "table", key: tuple | None = None) -> DataFrame:
+    """Write ``df`` as parquet under the shared checkpoint dir and read it back.
+
+    Cuts lineage like ``checkpoint()`` but columnar: later steps read only the
+    columns they need, filters reach the scan, and the written table survives
+    executor loss.  Reports branch several times over their input, so reading
+    a written table beats re-running the joins that derive it.
+
+    With ``key`` (what the table was derived from), a table already written in
+    this application is read again instead of being rebuilt: the hand-over
+    table is produced once and read by every report.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    slot = (spark.sparkContext.applicationId, name, key) if key is not None else None
+    if slot in _STAGED and _exists(spark, _STAGED[slot]):
+        return spark.read.parquet(_STAGED[slot])
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if slot is not None:
+        _STAGED[slot] = path
+    return spark.read.parquet(path)
+
+
+def staged_path(spark: SparkSession, name: str, key: tuple) -> str | None:
+    """Path of a table staged in this application under (name, key), if still there."""
+    path = _STAGED.get((spark.sparkContext.applicationId, name, key))
+    return path if path and _exists(spark, path) else None
+
+
+def remember_staged(spark: SparkSession, name: str, key: tuple, path: str) -> None:
+    _STAGED[(spark.sparkContext.applicationId, name, key)] = path
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(conf).exists(p)

@@ -16,27 +16,11 @@ from pyspark.sql import functions as F
 
 from halflife.functions.scalars import lifespan_days, truncate_seconds
 from halflife.operators.sequence import shift_in_buckets, time_slices
+from halflife.session import stage
 
 LIFECYCLE_COLUMNS = ["path", "creator", "remover", "created", "removed", "lifespan"]
 
 
-def stage(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as parquet under the shared checkpoint dir and read it back.
-
-    Reports branch several times over their input; reading a written lifecycle
-    table (pruned, filters pushed) is far cheaper than re-running the joins
-    that derive it, and the written table survives executor loss.
-    """
-    import uuid
-
-    from halflife.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -78,7 +62,7 @@ def orders_life_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_life(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
     raw = orders_life_raw(spark, sf_dir)
-    return with_lifespan(stage(raw, "orders_life") if staged else raw)
+    return with_lifespan(stage(raw, "orders_life", key=(sf_dir,)) if staged else raw)
 
 
 def events_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,7 +98,7 @@ def events_life_raw(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_00
 
 def events_life(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_000, staged: bool = True) -> DataFrame:
     raw = events_life_raw(spark, sf_dir, slice_rows)
-    return with_lifespan(stage(raw, "events_life") if staged else raw)
+    return with_lifespan(stage(raw, "events_life", key=(sf_dir, slice_rows)) if staged else raw)
 
 
 def parts_files(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
@@ -132,4 +116,4 @@ def parts_files(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFr
         "added",
         F.when(F.col("l_partkey") % 5 == 0, F.col("__last_ship")).alias("removed"),
     )
-    return stage(files, "parts_files") if staged else files
+    return stage(files, "parts_files", key=(sf_dir,)) if staged else files

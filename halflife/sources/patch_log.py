@@ -89,14 +89,19 @@ def events_alias_map(roster: DataFrame) -> DataFrame:
     return roster.select("alias_from", F.regexp_extract("alias_from", r"^([^@]+)@", 1).alias("alias_to"))
 
 
-def stage_patch_log(log: DataFrame) -> DataFrame:
+def stage_patch_log(log: DataFrame, key: tuple | None = None) -> DataFrame:
     """Write commit rows as a log file under the shared checkpoint dir and read
-    it back with :func:`read_patch_log` (cuts lineage; survives executor loss)."""
+    it back with :func:`read_patch_log` (cuts lineage; survives executor loss).
+    With ``key``, a log already written in this application is read again."""
     import uuid
 
-    from halflife.session import ensure_checkpoint_dir
+    from halflife.session import ensure_checkpoint_dir, remember_staged, staged_path
 
     spark = log.sparkSession
+    if key is not None and (path := staged_path(spark, "patch-log", key)):
+        return read_patch_log(spark, path)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/patch-logs/{uuid.uuid4().hex}"
     write_patch_log(log, path)
+    if key is not None:
+        remember_staged(spark, "patch-log", key, path)
     return read_patch_log(spark, path)
