@@ -44,10 +44,10 @@ def entry(spark: SparkSession) -> DataFrame:
 def _q_clean_int(spark, d):
     """C1 on the lifespan text the log replay writes (raw whole days, may be negative)."""
     base = B.orders_life_raw(spark, d)
-    bounds = base.agg(
-        (F.greatest(F.max("created"), F.max("removed")) + F.expr("INTERVAL 1 DAY")).alias("__last_day")
-    )
-    text = to_lifecycle_text(base.crossJoin(F.broadcast(bounds)), last_day_col="__last_day")
+    last_day = base.agg(
+        (F.greatest(F.max("created"), F.max("removed")) + F.expr("INTERVAL 1 DAY")).alias("last_day")
+    ).scalar()
+    text = to_lifecycle_text(base.withColumn("__last_day", last_day), last_day_col="__last_day")
     counts = text.groupBy(F.col("lifespan").alias("lifespan_text")).agg(F.count(F.lit(1)).alias("n"))
     return counts.select("lifespan_text", S.clean_int("lifespan_text").alias("lifespan"), "n")
 

@@ -411,8 +411,8 @@ def history_bounds(diffs: DataFrame, files: DataFrame) -> DataFrame:
     every diff but a pure rename moves the last change."""
     n_hunks = F.size("hunk_ops") if "hunk_ops" in diffs.columns else F.size("hunk_texts")
     last = diffs.where((F.col("kind") != KIND_RENAME) | (n_hunks > 0)).agg(F.max("committed").alias("last_change"))
-    start = files.agg(F.min("added").alias("start"))
-    return start.crossJoin(last)
+    start = files.agg(F.min("added")).scalar()
+    return last.select(start.alias("start"), "last_change")
 
 
 def line_lifecycle(
@@ -434,15 +434,13 @@ def line_lifecycle(
     hk = hunks(diffs)
     diff_files, files = file_identity(diffs)
     lines = replay_lines(hk, diff_files).where(F.col("created").isNotNull())
-    bounds = history_bounds(diffs, files).select(
-        (F.col("last_change") + F.expr("INTERVAL 1 DAY")).alias("__last_day")
-    )
+    last_day = history_bounds(diffs, files).select(
+        (F.col("last_change") + F.expr("INTERVAL 1 DAY")).alias("last_day")
+    ).scalar()
     out = lines.join(files.select("file_id", "path", F.col("removed").alias("file_removed")), "file_id")
     if not include_removed_files:
         out = out.where(F.col("file_removed").isNull())
-    out = out.crossJoin(F.broadcast(bounds)).withColumn(
-        "lifespan", lifespan_days("created", "removed", "__last_day")
-    )
+    out = out.withColumn("lifespan", lifespan_days("created", "removed", last_day))
     cols = ["path", "creator", "remover", "created", "removed", "lifespan"]
     if with_file_columns:
         cols += ["file_id", "file_removed", "replay_errors"]

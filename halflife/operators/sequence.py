@@ -69,7 +69,7 @@ def shift_in_buckets(
 
 def time_slices(df: DataFrame, ts: str, target_rows: int = 2_000_000) -> DataFrame:
     """Add ``__hl_slice``: a time slice of ``ts`` sized so that the whole table
-    has about ``target_rows`` rows per slice (a one-row statistic, broadcast).
+    has about ``target_rows`` rows per slice (a scalar subquery over the table).
 
     Any key then holds at most about ``target_rows`` rows per slice when its
     rows spread over time like the table's; use as the ``bucket`` of
@@ -85,12 +85,9 @@ def time_slices(df: DataFrame, ts: str, target_rows: int = 2_000_000) -> DataFra
         F.lit(1).cast("bigint"),
         F.ceil(span.cast("double") * F.lit(float(target_rows)) / F.greatest(F.col("__hl_n"), F.lit(1))).cast("bigint"),
     )
-    stats = stats.select("__hl_t0", width.alias("__hl_width"))
-    out = df.crossJoin(F.broadcast(stats))
-    slice_ = F.floor(
-        F.timestamp_diff("MICROSECOND", F.col("__hl_t0"), F.col(ts)) / F.col("__hl_width")
-    ).cast("bigint")
-    return out.withColumn("__hl_slice", slice_).drop("__hl_t0", "__hl_width")
+    s = stats.select(F.struct(F.col("__hl_t0").alias("t0"), width.alias("width"))).scalar()
+    slice_ = F.floor(F.timestamp_diff("MICROSECOND", s.getField("t0"), F.col(ts)) / s.getField("width")).cast("bigint")
+    return df.withColumn("__hl_slice", slice_)
 
 
 def fill_forward_in_buckets(

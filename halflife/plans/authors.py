@@ -46,7 +46,7 @@ def author_decay(
 ) -> DataFrame:
     """P5: one conditional aggregate per creator (instead of five aggregates and
     four outer joins).  Counts absent in the reference's outer joins are null,
-    not 0.  The live-line total is a one-row aggregate cross-joined, not a
+    not 0.  The live-line total is a scalar subquery, not a
     driver action.  ``as_of`` defaults to ``current_date()``."""
     rows = df
     if path_like is not None:
@@ -67,9 +67,9 @@ def author_decay(
         _nonzero(F.count_if(removed & (F.col("remover") == F.col("creator")))).alias("lines_removed_by_author"),
         _nonzero(F.count_if(~removed)).alias("lines_active"),
     )
-    total = rows.agg(F.count_if(F.col("removed").isNull()).alias("__active_total"))
+    total = rows.agg(F.count_if(F.col("removed").isNull())).scalar()  # live lines, one subquery
     day = _as_of(as_of)
-    out = per.crossJoin(F.broadcast(total)).select(
+    out = per.select(
         *[c for c in per.columns],
         F.datediff(day, F.col("author_first")).alias("account_age"),
         F.datediff(F.col("author_last"), F.col("author_first")).alias("account_lifespan"),
@@ -78,7 +78,7 @@ def author_decay(
         F.try_divide(F.col("lines_removed_by_author").cast("double"), F.col("lines_created")).alias(
             "pct_removed_by_self"
         ),
-        F.try_divide(F.col("lines_active").cast("double"), F.col("__active_total")).alias(
+        F.try_divide(F.col("lines_active").cast("double"), total).alias(
             "pct_of_active_code_base"
         ),
     )

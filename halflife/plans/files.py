@@ -69,18 +69,19 @@ def file_population(files: DataFrame, bounds: DataFrame | None = None, corrected
     """
     if bounds is None:
         bounds = file_bounds(files)
-    cal = F.broadcast(_calendar(bounds))  # one row
+    cal = _calendar(bounds)  # one row: history start, first and last report day
+    c = cal.select(F.struct("start", "d0", "d_max")).scalar()
     plus_1s = F.expr("INTERVAL 1 SECOND")
     almost_1s = F.expr("INTERVAL 0.999999 SECOND")
-    f = files.select("added", "removed").crossJoin(cal).select(
+    f = files.select(
         F.to_date(F.col("added") + plus_1s).alias("e"),
         F.to_date(F.col("added") + almost_1s).alias("k"),
         F.to_date(F.col("removed") + plus_1s).alias("er"),
         F.to_date(F.col("removed") + almost_1s).alias("kr"),
-        whole_days(F.col("start"), F.col("removed")).alias("rage"),
+        whole_days(c.getField("start"), F.col("removed")).alias("rage"),
         F.col("removed").isNull().alias("live"),
-        "d0",
-        "d_max",
+        c.getField("d0").alias("d0"),
+        c.getField("d_max").alias("d_max"),
         F.col("added").isNotNull().alias("has_add"),
     )
 
@@ -146,10 +147,12 @@ def history_summary(files: DataFrame, bounds: DataFrame | None = None) -> DataFr
         F.count_if(F.col("removed").isNull()).alias("files"),
         F.count_if(F.col("removed").isNotNull()).alias("removed_files"),
     )
-    return counts.crossJoin(bounds).select(
+    bd = bounds.select(F.struct("start", "last_change")).scalar()
+    start, last = bd.getField("start"), bd.getField("last_change")
+    return counts.select(
         "files",
         "removed_files",
-        "start",
-        "last_change",
-        (whole_days("start", "last_change") + 1).alias("duration"),
+        start.alias("start"),
+        last.alias("last_change"),
+        (whole_days(start, last) + 1).alias("duration"),
     )

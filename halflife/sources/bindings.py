@@ -28,15 +28,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def with_lifespan(df: DataFrame) -> DataFrame:
     """Lifespan against the history's last change + 1 day.
 
-    The last change is a one-row aggregate, cross-joined as a broadcast of one row.
+    The last change is a scalar subquery (one aggregate, computed once).
     """
-    bounds = df.agg(
-        F.greatest(F.max("created"), F.max("removed")).alias("__last")
-    ).select((F.col("__last") + F.expr("INTERVAL 1 DAY")).alias("__last_day"))
-    out = df.crossJoin(F.broadcast(bounds))
-    return out.withColumn(
-        "lifespan", lifespan_days("created", "removed", "__last_day")
-    ).drop("__last_day")
+    last_day = df.agg(
+        (F.greatest(F.max("created"), F.max("removed")) + F.expr("INTERVAL 1 DAY")).alias("last_day")
+    ).scalar()
+    return df.withColumn("lifespan", lifespan_days("created", "removed", last_day))
 
 
 def orders_life_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
