@@ -37,3 +37,13 @@ def test_query_matches_oracle(spark, duck, name):
     exp = canon(*duck_rows(duck, E.oracle_sql()[name]))
     assert got[0] == exp[0]
     assert got[1] == exp[1]
+
+
+@pytest.mark.parametrize("name", ["clean_date", "gap_minutes", "file_population", "line_lifecycle"])
+def test_results_do_not_depend_on_session_zone(spark, duck, name):
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        got = canon(*spark_rows(E.queries()[name](spark, SF)))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    assert got == canon(*duck_rows(duck, E.oracle_sql()[name]))
