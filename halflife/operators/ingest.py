@@ -23,10 +23,10 @@ from typing import Any, Iterator, Tuple
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from halflife.functions.scalars import lifespan_days
 from halflife.operators.joins import broadcast_if_small
-from halflife.operators.sequence import fill_forward_in_buckets, shift_in_buckets
 from halflife.session import ensure_checkpoint_dir, stage
 
 # English month abbreviations of git's default date format.
@@ -270,6 +270,61 @@ def _resolve_roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     return cur.select("seg", F.col("anc").alias("root"))
 
 
+_ENDS = ("D", "RO")
+
+
+def _begins(ev: Column, prev: Column, prev_known: Column) -> Column:
+    """A segment begins at a create/modify of a vacant path, or at a rename target."""
+    vacant = prev_known & (prev.isNull() | prev.isin(*_ENDS))
+    return (ev.isin(KIND_CREATE, KIND_MODIFY) & vacant) | (ev == "RI")
+
+
+def _segment_starts(ev: DataFrame) -> DataFrame:
+    """Per path, in log order: is the path vacant before each event, does the
+    event begin a segment, and where did the current segment begin.
+
+    One bucketed pass (path, seq_bucket): a window gives each row its
+    predecessor inside the bucket; a one-row-per-bucket table carries, across
+    buckets, the last event kind and the last segment start; a second window on
+    the same partitioning takes the running last start.  Same result as the
+    plain lag + running ``last(ignorenulls)`` over the whole path.
+    """
+    order = [F.col("seq").asc(), F.col("phase").asc(), F.col("dpos").asc()]
+    rank = F.struct("seq", "phase", "dpos")
+    w = Window.partitionBy("path", "seq_bucket").orderBy(*order)
+    rows = ev.withColumn("__prev_local", F.lag("ev").over(w)).withColumn(
+        "__first", F.row_number().over(w) == 1
+    )
+    # begin flags of all rows but a bucket's first (their predecessor is local)
+    local_begin = _begins(F.col("ev"), F.col("__prev_local"), ~F.col("__first"))
+    rows = rows.withColumn("__lb", F.when(local_begin & ~F.col("__first"), rank))
+
+    per = rows.groupBy("path", "seq_bucket").agg(
+        F.max_by("ev", rank).alias("__last_ev"),
+        F.min_by("ev", rank).alias("__first_ev"),
+        F.min(rank).alias("__first_rank"),
+        F.max("__lb").alias("__last_lb"),
+    )
+    wb = Window.partitionBy("path").orderBy("seq_bucket")
+    per = per.withColumn("__prev_bucket_ev", F.lag("__last_ev").over(wb))
+    first_begins = _begins(F.col("__first_ev"), F.col("__prev_bucket_ev"), F.lit(True))
+    per = per.withColumn(
+        "__bucket_start", F.coalesce(F.col("__last_lb"), F.when(first_begins, F.col("__first_rank")))
+    ).withColumn(
+        "__carry", F.last("__bucket_start", ignorenulls=True).over(wb.rowsBetween(Window.unboundedPreceding, -1))
+    ).select("path", "seq_bucket", "__prev_bucket_ev", "__carry")
+
+    rows = rows.join(per, ["path", "seq_bucket"], "left")
+    prev = F.when(F.col("__first"), F.col("__prev_bucket_ev")).otherwise(F.col("__prev_local"))
+    rows = rows.withColumn("prev_ev", prev)
+    begin = _begins(F.col("ev"), F.col("prev_ev"), F.lit(True))
+    rows = rows.withColumn("valid", ~(F.col("ev").isin(*_ENDS) & (F.col("prev_ev").isNull() | F.col("prev_ev").isin(*_ENDS))))
+    rows = rows.withColumn("__begin", F.when(begin, rank))
+    run = F.last("__begin", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.withColumn("seg_start", F.coalesce(run, F.col("__carry")))
+    return rows.drop("__prev_local", "__first", "__lb", "__prev_bucket_ev", "__carry")
+
+
 def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Give every diff the file it applies to; list the files.
 
@@ -283,19 +338,7 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     * files: file_id, path (latest), added, removed (delete time or null).
     """
     ensure_checkpoint_dir(diffs.sparkSession)
-    ev = stage(path_events(diffs), "path_events")
-    ev = shift_in_buckets(
-        ev, keys=["path"], order=["seq", "phase", "dpos"], values=["ev"],
-        bucket=F.col("seq_bucket"), direction=-1, prefix="prev_",
-    )
-    vacant_before = F.col("prev_ev").isNull() | F.col("prev_ev").isin("D", "RO")
-    begin = (F.col("ev").isin(KIND_CREATE, KIND_MODIFY) & vacant_before) | (F.col("ev") == "RI")
-    ev = ev.withColumn("valid", ~(F.col("ev").isin("D", "RO") & vacant_before))
-    ev = ev.withColumn("__begin", F.when(begin, F.struct("seq", "phase", "dpos")))
-    ev = fill_forward_in_buckets(
-        ev, keys=["path"], order=["seq", "phase", "dpos"], value="__begin",
-        bucket=F.col("seq_bucket"), out="seg_start",
-    )
+    ev = _segment_starts(stage(path_events(diffs), "path_events"))
     ev = ev.withColumn("seg", F.when(F.col("valid"), F.struct(F.col("path"), F.col("seg_start").alias("start"))))
     ev = stage(ev, "path_segments")
 

@@ -276,3 +276,19 @@ def test_simulated_history(spark, seed, parts):
     diffs = I.compact_diffs(I.file_diffs(I.commits(log)))
     _, files = I.file_identity(diffs)
     assert sorted(tuple(r) for r in files.select("path", "added", "removed").collect()) == sim.files_truth()
+
+
+@pytest.mark.parametrize("seed", [5, 6])
+def test_identity_independent_of_buckets(spark, seed):
+    sim = Sim(seed).run(150)
+    log = _log(spark, sim.log_text())
+    diffs = I.compact_diffs(I.file_diffs(I.commits(log)))
+
+    def ident(bucket):
+        df, files = I.file_identity(diffs.withColumn("seq_bucket", bucket))
+        return (sorted(tuple(r) for r in df.select("seq", "dpos", "ev", "file_id").collect()),
+                sorted(tuple(r) for r in files.select("file_id", "path", "added", "removed").collect()))
+
+    one = ident(F.lit(0))
+    assert ident(F.col("seq")) == one  # every commit its own bucket
+    assert one[1] and sorted((p, a, r) for _, p, a, r in one[1]) == sim.files_truth()
