@@ -41,12 +41,18 @@ def local_session(cores: int | str = "*", partitions: int = 8, app: str = "halfl
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint dir, setting a scratch one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` names shared storage and is left alone;
-    local runs (tests) get a fresh folder under /tmp.
+    On a cluster ``spark.checkpoint.dir`` names shared storage and is left
+    alone (and is required); only local-mode runs (tests) get a fresh scratch
+    folder when none is configured.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir", None)
     if not current:
+        if not sc.master.startswith("local"):
+            raise ValueError(
+                "halflife writes staged tables and checkpoints to spark.checkpoint.dir; "
+                "set it to shared storage (a machine-local folder does not survive executor loss)"
+            )
         current = tempfile.mkdtemp(prefix="halflife-ckpt-", dir=os.environ.get("HALFLIFE_SCRATCH", "/tmp"))
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
