@@ -17,7 +17,7 @@ from halflife import plans as P
 from halflife.functions import scalars as S
 from halflife.sources import bindings as B
 from halflife.operators import ingest as I
-from halflife.sources.lifecycle import to_lifecycle_text
+from halflife.sources.lifecycle import read_lifecycle_text, to_lifecycle_text, type_lifecycle, write_lifecycle_text
 from halflife.sources.patch_log import events_alias_map, render_events_log, stage_patch_log
 
 SMOKE_DIR = "/root/testdata/sf0.001"
@@ -52,6 +52,22 @@ def _q_clean_int(spark, d):
     return counts.select("lifespan_text", S.clean_int("lifespan_text").alias("lifespan"), "n")
 
 
+def _q_lifecycle_csv(spark, d):
+    """S4 -> S3 -> C1/C2: the lifecycle written as text (as log replay hands it
+    over), read back with an all-string schema and DROPMALFORMED, and typed."""
+    import uuid
+
+    from halflife.session import ensure_checkpoint_dir
+
+    base = B.orders_life_raw(spark, d)
+    last_day = base.agg(
+        (F.greatest(F.max("created"), F.max("removed")) + F.expr("INTERVAL 1 DAY")).alias("last_day")
+    ).scalar()
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/lifecycle-text/{uuid.uuid4().hex}"
+    write_lifecycle_text(to_lifecycle_text(base.withColumn("__last_day", last_day), last_day_col="__last_day"), path)
+    return type_lifecycle(read_lifecycle_text(spark, path))
+
+
 def _q_clean_date(spark, d):
     """C2 on the created/removed text of the event lifecycle ('None' for open lines)."""
     text = to_lifecycle_text(B.events_life(spark, d))
@@ -161,6 +177,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "clean_int": _q_clean_int,
         "clean_date": _q_clean_date,
+        "lifecycle_csv": _q_lifecycle_csv,
         "cohort_ids": _q_cohort_ids,
         "gap_minutes": _q_gap_minutes,
         "days_between": _q_days_between,
@@ -570,6 +587,7 @@ t AS (
   UNION ALL SELECT coalesce(strftime(removed, '%Y-%m-%d %H:%M:%S'), 'None') FROM life
 )
 SELECT text, CASE WHEN text <> 'None' THEN CAST(text AS TIMESTAMP) END AS parsed, count(*) AS n FROM t GROUP BY text""",
+        "lifecycle_csv": _ORDERS + "\nSELECT path, creator, remover, created, removed, lifespan FROM life",
         "cohort_ids": "WITH "
         + _ORDERS_RAW
         + f""",
