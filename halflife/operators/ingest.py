@@ -368,11 +368,87 @@ REPLAY_SCHEMA = (
 )
 
 
+class LineList:
+    """The live lines of one file: a list of blocks (each at most ``2 * block``
+    long) with a cursor, so inserts and removals cost O(block + blocks) instead
+    of O(lines) for very long files.  A hunk moves the cursor forward only."""
+
+    def __init__(self, block: int = 512):
+        self.block = block
+        self.blocks: list[list] = [[]]
+        self.n = 0
+        self.bi = 0
+        self.off = 0
+
+    def __len__(self) -> int:
+        return self.n
+
+    def seek(self, pos: int) -> None:
+        """Put the cursor before line ``pos`` (or at the end)."""
+        pos = min(max(pos, 0), self.n)
+        for i, b in enumerate(self.blocks):
+            if pos <= len(b) and (pos < len(b) or i == len(self.blocks) - 1):
+                self.bi, self.off = i, pos
+                return
+            pos -= len(b)
+        self.bi, self.off = len(self.blocks) - 1, len(self.blocks[-1])
+
+    def _normalise(self) -> None:
+        while self.off >= len(self.blocks[self.bi]) and self.bi < len(self.blocks) - 1:
+            self.off -= len(self.blocks[self.bi])
+            self.bi += 1
+
+    def skip(self) -> bool:
+        """Step over one line (a context line); False past the end."""
+        self._normalise()
+        if self.off >= len(self.blocks[self.bi]):
+            return False
+        self.off += 1
+        return True
+
+    def insert(self, item) -> None:
+        """Insert before the cursor position and step past the new line."""
+        self._normalise()
+        b = self.blocks[self.bi]
+        b.insert(self.off, item)
+        self.off += 1
+        self.n += 1
+        if len(b) > 2 * self.block:
+            self.blocks[self.bi: self.bi + 1] = [b[: self.block], b[self.block:]]
+            if self.off > self.block:
+                self.bi += 1
+                self.off -= self.block
+
+    def pop(self):
+        """Remove and return the line at the cursor, or None past the end."""
+        self._normalise()
+        b = self.blocks[self.bi]
+        if self.off >= len(b):
+            return None
+        item = b.pop(self.off)
+        self.n -= 1
+        if not b and len(self.blocks) > 1:
+            del self.blocks[self.bi]
+            if self.bi >= len(self.blocks):
+                self.bi, self.off = len(self.blocks) - 1, len(self.blocks[-1])
+            else:
+                self.off = 0
+        return item
+
+    def items(self) -> list:
+        return [x for b in self.blocks for x in b]
+
+    def clear(self) -> list:
+        out = self.items()
+        self.__init__(self.block)
+        return out
+
+
 def _replay(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replay one file's hunks in log order.  Live lines are a list of
-    (creator, created); only they are held, the hunks stream through."""
+    """Replay one file's hunks in log order.  Live lines are (creator, created)
+    in a :class:`LineList`; only they are held, the hunks stream through."""
     (file_id,) = key
-    live: list[tuple] = []
+    live = LineList()
     errors = 0
     for pdf in batches:
         out_c, out_t, out_r, out_rt = [], [], [], []
@@ -380,36 +456,35 @@ def _replay(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[p
             pdf["author"], pdf["committed"], pdf["start"], pdf["ops"], pdf["closes"]
         ):
             if closes:
-                for c, t in live:
+                for c, t in live.clear():
                     out_c.append(c), out_t.append(t), out_r.append(author), out_rt.append(when)
-                live = []
                 continue
-            cur = int(start)
+            live.seek(int(start))
             for ch in ops:
                 if ch == " ":
-                    cur += 1
+                    live.skip()
                 elif ch == "+":
-                    live.insert(cur, (author, when))
-                    cur += 1
+                    live.insert((author, when))
                 elif ch == "-":
-                    if cur < len(live):
-                        c, t = live.pop(cur)
-                        out_c.append(c), out_t.append(t), out_r.append(author), out_rt.append(when)
-                    else:
+                    gone = live.pop()
+                    if gone is None:
                         errors += 1
+                    else:
+                        out_c.append(gone[0]), out_t.append(gone[1]), out_r.append(author), out_rt.append(when)
         if out_c:
             yield pd.DataFrame(
                 {"file_id": file_id, "creator": out_c, "created": out_t, "remover": out_r,
                  "removed": out_rt, "replay_errors": 0}
             )
-    if live:
+    rest = live.items()
+    if rest:
         yield pd.DataFrame(
             {
                 "file_id": file_id,
-                "creator": [c for c, _ in live],
-                "created": [t for _, t in live],
+                "creator": [c for c, _ in rest],
+                "created": [t for _, t in rest],
                 "remover": None,
-                "removed": pd.Series([pd.NaT] * len(live), dtype="datetime64[us]"),
+                "removed": pd.Series([pd.NaT] * len(rest), dtype="datetime64[us]"),
                 "replay_errors": 0,
             }
         )

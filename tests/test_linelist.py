@@ -1,0 +1,63 @@
+"""LineList behaves like a plain list under hunk-style cursor operations."""
+
+import random
+
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from halflife.operators.ingest import LineList
+
+ops_strategy = st.lists(
+    st.tuples(st.integers(0, 60), st.text(alphabet="+- ", min_size=0, max_size=25)), min_size=1, max_size=40
+)
+
+
+def _plain(hunks, initial):
+    live, out, errors = list(initial), [], 0
+    for k, (start, ops) in enumerate(hunks):
+        cur = min(start, len(live))
+        for j, ch in enumerate(ops):
+            if ch == " ":
+                cur = min(cur + 1, len(live)) if cur < len(live) else cur
+            elif ch == "+":
+                live.insert(cur, (k, j))
+                cur += 1
+            elif cur < len(live):
+                out.append(live.pop(cur))
+            else:
+                errors += 1
+    return live, out, errors
+
+
+def _blocked(hunks, initial, block):
+    live, out, errors = LineList(block), [], 0
+    for x in initial:
+        live.insert(x)
+    for k, (start, ops) in enumerate(hunks):
+        live.seek(start)
+        for j, ch in enumerate(ops):
+            if ch == " ":
+                live.skip()
+            elif ch == "+":
+                live.insert((k, j))
+            else:
+                g = live.pop()
+                if g is None:
+                    errors += 1
+                else:
+                    out.append(g)
+    return live.items(), out, errors
+
+
+@settings(max_examples=300, deadline=None)
+@given(hunks=ops_strategy, n0=st.integers(0, 50), block=st.integers(1, 6))
+def test_linelist_matches_list(hunks, n0, block):
+    initial = [("init", i) for i in range(n0)]
+    assert _blocked(hunks, initial, block) == _plain(hunks, initial)
+
+
+def test_linelist_large():
+    rng = random.Random(7)
+    hunks = [(rng.randint(0, 5000), "".join(rng.choice("+- ") for _ in range(rng.randint(1, 40)))) for _ in range(3000)]
+    initial = [("init", i) for i in range(4000)]
+    assert _blocked(hunks, initial, 64) == _plain(hunks, initial)
