@@ -173,6 +173,27 @@ def _q_file_population_log(spark, d):
     return P.file_population(files, I.history_bounds(diffs, files))
 
 
+def _q_active_lines_stream(spark, d):
+    """Streaming P3 (corrected): the order-line lifecycle as line-event files,
+    consumed by the streaming job (availableNow) in two arrivals; returns its
+    final snapshot."""
+    import uuid
+
+    from halflife.session import ensure_checkpoint_dir
+    from halflife.streaming import LINE_EVENT_SCHEMA, start_weekly_activity, to_line_events
+
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{uuid.uuid4().hex}"
+    life = B.orders_life(spark, d)
+    events = to_line_events(life)
+    cut = life.agg(F.percentile_approx("created", 0.5)).scalar()
+    for part in (events.where(F.col("at") < cut), events.where(F.col("at") >= cut)):
+        part.write.mode("append").parquet(f"{root}/src")
+        stream = spark.readStream.schema(LINE_EVENT_SCHEMA).parquet(f"{root}/src")
+        for q in start_weekly_activity(stream, f"{root}/out", f"{root}/ckpt"):
+            q.awaitTermination()
+    return spark.read.parquet(f"{root}/out/active_lines")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "clean_int": _q_clean_int,
@@ -205,6 +226,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "line_lifecycle": _q_line_lifecycle,
         "author_rates_log": _q_author_rates_log,
         "file_population_log": _q_file_population_log,
+        "active_lines_stream": _q_active_lines_stream,
     }
     return q
 
@@ -646,4 +668,5 @@ FROM b""",
         "line_lifecycle": _EVENTS + "\nSELECT path, creator, remover, created, removed, lifespan FROM life",
         "author_rates_log": _p6_sql(_EVENTS, False),
         "file_population_log": _p7_sql(False, _LOG_FILES),
+        "active_lines_stream": _p3_corrected_sql(_ORDERS),
     }
