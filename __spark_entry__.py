@@ -133,12 +133,12 @@ def _q_line_lifecycle(spark, d):
 
 
 def _q_patch_hunks(spark, d):
-    hk = I.hunks(I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d)))))
+    hk = I.hunks(I.parse_log(_events_log(spark, d)))
     return hk.select("new_path", "author", "committed", "kind", "start", "lines_added", "lines_removed")
 
 
 def _q_file_identity(spark, d):
-    diffs = I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d))))
+    diffs = I.parse_log(_events_log(spark, d))
     _, files = I.file_identity(diffs)
     return files.select("path", "added", "removed")
 
@@ -154,7 +154,7 @@ def _q_alias_resolution(spark, d):
 
 
 def _q_history_summary_log(spark, d):
-    diffs = I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d))))
+    diffs = I.parse_log(_events_log(spark, d))
     _, files = I.file_identity(diffs)
     return P.history_summary(files, I.history_bounds(diffs, files))
 
@@ -168,7 +168,7 @@ def _q_author_rates_log(spark, d):
 
 def _q_file_population_log(spark, d):
     """P7 on the files of the log, bounded by its first add and last change."""
-    diffs = I.compact_diffs(I.file_diffs(I.commits(_events_log(spark, d))))
+    diffs = I.parse_log(_events_log(spark, d))
     _, files = I.file_identity(diffs)
     return P.file_population(files, I.history_bounds(diffs, files))
 

@@ -355,7 +355,10 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     latest = segs.groupBy("file_id").agg(F.max_by("path", F.col("seg.start")).alias("path"))
     prim = ev.where(F.col("primary") & F.col("valid")).join(segs.select("seg", "file_id"), "seg")
     removed = prim.where(F.col("ev") == "D").groupBy("file_id").agg(F.max("committed").alias("removed"))
-    files = added.join(latest, "file_id").join(removed, "file_id", "left").select("file_id", "path", "added", "removed")
+    files = stage(
+        added.join(latest, "file_id").join(removed, "file_id", "left").select("file_id", "path", "added", "removed"),
+        "files",
+    )
     diff_files = prim.select("seq", "dpos", "ev", "author", "committed", "file_id")
     return diff_files, files
 
@@ -533,6 +536,16 @@ def history_bounds(diffs: DataFrame, files: DataFrame) -> DataFrame:
     return last.select(start.alias("start"), "last_change")
 
 
+def parse_log(log: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """I1-I5 once: commits -> aliased authors -> diffs with compact hunks,
+    written as parquet under the checkpoint dir.  Every later step (identity,
+    bounds, replay, reports) reads this lineage-free table."""
+    cm = commits(log)
+    if alias is not None:
+        cm = resolve_aliases(cm, alias)
+    return stage(compact_diffs(file_diffs(cm)), "diffs")
+
+
 def line_lifecycle(
     log: DataFrame,
     alias: DataFrame | None = None,
@@ -543,12 +556,7 @@ def line_lifecycle(
     path, creator, remover, created, removed, lifespan (+ file_id, file_removed
     with ``with_file_columns``).  Lines of deleted files are left out unless
     ``include_removed_files``."""
-    cm = commits(log)
-    if alias is not None:
-        cm = resolve_aliases(cm, alias)
-    ensure_checkpoint_dir(cm.sparkSession)
-    # Parse once; every later step reads this compact, lineage-free table.
-    diffs = stage(compact_diffs(file_diffs(cm)), "diffs")
+    diffs = parse_log(log, alias)
     hk = hunks(diffs)
     diff_files, files = file_identity(diffs)
     lines = replay_lines(hk, diff_files).where(F.col("created").isNotNull())
