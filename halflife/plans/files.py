@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from halflife.functions.scalars import day_string, whole_days
 
@@ -59,6 +60,79 @@ def _bucket(age, day_count):
     return F.when(day_count > 0, F.least(F.greatest(idx, F.lit(0)), F.lit(9))).otherwise(F.lit(0))
 
 
+_INF = 10_000_000  # day numbers beyond any calendar
+
+
+def _dn(d):
+    return F.datediff(d, F.lit("1970-01-01").cast("date"))
+
+
+def _ceil10(x):
+    """ceil(x / 10) for non-negative integer x."""
+    return F.floor((x + 9) / 10).cast("int")
+
+
+def _prefix_stats(pts: DataFrame, days: DataFrame, classes: list[int], sgn: int, kind: str) -> DataFrame:
+    """Per report day, from class-wise prefix sums over a dense calendar of keys.
+
+    ``pts(cls, key, n)``: item counts by class and key (day numbers).  On day D
+    an item counts when ``key <= D - cls`` (adds, ``kind='add'``) or
+    ``key <= D`` (removals); its value is ``D + 1 - key`` (age) or
+    ``key - s0 - cls`` (removal age).  Each age bucket is a key range, so a
+    bucket count is two prefix lookups.  Work is O(days), not O(days^2).
+    Returns day, cnt, vsum, b0..b9.
+    """
+    pts = pts.withColumn("kn", F.col("n") * F.col("key"))
+    # Key range per class (at most 3 rows): dense prefix keys and lookup clamping.
+    bnd = pts.groupBy("cls").agg((F.min("key") - 1).alias("klo"), F.max("key").alias("khi"))
+    keys = bnd.select("cls", F.explode(F.sequence("klo", "khi")).alias("key"))
+    w = Window.partitionBy("cls").orderBy("key").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    pre = (
+        keys.join(pts, ["cls", "key"], "left")
+        .select("cls", "key", F.sum(F.coalesce("n", F.lit(0))).over(w).alias("P"),
+                F.sum(F.coalesce("kn", F.lit(0))).over(w).alias("Q"))
+    )
+
+    def clamp(x):
+        return F.least(F.greatest(x, F.col("klo")), F.col("khi"))
+
+    dn, dc, cls = F.col("dn"), F.col("dc"), F.col("cls")
+    if kind == "add":
+        cut, shift = dn - cls, dn + 1  # value = shift - key
+    else:
+        cut, shift = dn, -(F.col("s0n") + cls)  # value = key + shift
+    reqs = [F.struct(F.lit("cnt").alias("tag"), clamp(cut).alias("x"), F.lit(1).alias("sg"))]
+    for b in range(10):
+        vlo = F.when(dc == 0, F.lit(-_INF) if b == 0 else F.lit(1)).otherwise(
+            F.lit(-_INF) if b == 0 else _ceil10(dc * b)
+        )
+        vhi = F.when(dc == 0, F.lit(_INF) if b == 0 else F.lit(0)).otherwise(
+            F.lit(_INF) if b == 9 else _ceil10(dc * (b + 1)) - 1
+        )
+        if sgn < 0:
+            lo_k, hi_k = shift - vhi, shift - vlo
+        else:
+            lo_k, hi_k = vlo - shift, vhi - shift
+        hi_k = F.least(hi_k, cut)
+        hi_k = F.greatest(hi_k, lo_k - 1)  # empty range -> equal lookups
+        reqs.append(F.struct(F.lit(f"b{b}").alias("tag"), clamp(hi_k).alias("x"), F.lit(1).alias("sg")))
+        reqs.append(F.struct(F.lit(f"b{b}").alias("tag"), clamp(lo_k - 1).alias("x"), F.lit(-1).alias("sg")))
+    r = days.select("day", "dn", "dc", *(["s0n"] if kind != "add" else []),
+                    F.explode(F.array(*[F.lit(c) for c in classes])).alias("cls"))
+    r = r.join(F.broadcast(bnd), "cls")  # classes without items have no lookups
+    r = r.select("day", "cls", shift.alias("shift"), F.explode(F.array(*reqs)).alias("q"))
+    r = r.select("day", "cls", "shift", "q.tag", "q.x", "q.sg")
+    j = r.join(pre, (r["cls"] == pre["cls"]) & (r["x"] == pre["key"]), "left")
+    P, Q = F.coalesce(F.col("P"), F.lit(0)), F.coalesce(F.col("Q"), F.lit(0))
+    is_cnt = F.col("tag") == "cnt"
+    vsum = Q * F.lit(sgn) + F.col("shift") * P  # sum of values of the counted items
+    return j.groupBy("day").agg(
+        F.sum(F.when(is_cnt, P)).alias("cnt"),
+        F.sum(F.when(is_cnt, vsum)).alias("vsum"),
+        *[F.sum(F.when(F.col("tag") == f"b{b}", F.col("sg") * P)).alias(f"b{b}") for b in range(10)],
+    )
+
+
 def file_population(files: DataFrame, bounds: DataFrame | None = None, corrected: bool = False) -> DataFrame:
     """P7 over ``files(added, removed)``; ``bounds`` is a one-row (start, last_change).
 
@@ -73,43 +147,67 @@ def file_population(files: DataFrame, bounds: DataFrame | None = None, corrected
     c = cal.select(F.struct("start", "d0", "d_max")).scalar()
     plus_1s = F.expr("INTERVAL 1 SECOND")
     almost_1s = F.expr("INTERVAL 0.999999 SECOND")
-    f = files.select(
+    cal_col = F.col("__cal")  # the calendar scalar, read once per row source
+    f = files.select("added", "removed", c.alias("__cal")).select(
         F.to_date(F.col("added") + plus_1s).alias("e"),
         F.to_date(F.col("added") + almost_1s).alias("k"),
         F.to_date(F.col("removed") + plus_1s).alias("er"),
         F.to_date(F.col("removed") + almost_1s).alias("kr"),
-        whole_days(c.getField("start"), F.col("removed")).alias("rage"),
+        whole_days(cal_col.getField("start"), F.col("removed")).alias("rage"),
         F.col("removed").isNull().alias("live"),
-        c.getField("d0").alias("d0"),
-        c.getField("d_max").alias("d_max"),
+        cal_col.getField("d0").alias("d0"),
+        cal_col.getField("d_max").alias("d_max"),
+        _dn(F.to_date(cal_col.getField("start"))).alias("s0n"),
         F.col("added").isNotNull().alias("has_add"),
     )
 
-    # -- existence: (e, k) groups expanded over the days they are counted on
-    ex = f.where(F.col("has_add") & (F.col("live") if not corrected else F.lit(True)))
-    ex = ex.groupBy("e", "k", "er", "d0", "d_max") if corrected else ex.groupBy("e", "k", "d0", "d_max")
-    ex = ex.agg(F.count(F.lit(1)).alias("n"))
-    hi = F.col("d_max") if not corrected else F.least(F.col("d_max"), F.coalesce(F.date_sub("er", 1), F.col("d_max")))
+    days = cal.select(_span(F.col("d0"), F.col("d_max")).alias("day"), "d0", "start").select(
+        "day", _dn(F.col("day")).alias("dn"), F.datediff("day", "d0").alias("dc"),
+        _dn(F.to_date("start")).alias("s0n"),
+    )
+
+    # -- removals (both modes): prefix sums by removal day, class = removal-age offset
+    rpts = f.where(~F.col("live")).groupBy(
+        (_dn(F.col("er")) - F.col("rage") - F.col("s0n")).alias("cls"), _dn(F.col("er")).alias("key")
+    ).agg(F.count(F.lit(1)).alias("n"))
+    rm = _prefix_stats(rpts, days, [0, 1, 2], 1, "remove").select(
+        "day", F.col("cnt").alias("files_in_removed"), F.col("vsum").alias("__rage_sum"),
+        *[F.col(f"b{i}").alias(f"r{i + 1}") for i in range(10)],
+    )
+
+    if not corrected:
+        # -- existence of live files: prefix sums by age reference day, class = e - k
+        apts = f.where(F.col("has_add") & F.col("live")).groupBy(
+            (_dn(F.col("e")) - _dn(F.col("k"))).alias("cls"), _dn(F.col("k")).alias("key")
+        ).agg(F.count(F.lit(1)).alias("n"))
+        ex = _prefix_stats(apts, days, [0, 1], -1, "add").select(
+            "day", F.col("cnt").alias("files_in_existence"), F.col("vsum").alias("__age_sum"),
+            *[F.col(f"b{i}").alias(f"e{i + 1}") for i in range(10)],
+        )
+    else:
+        ex = _alive_expanded(f)
+    out = _assemble(f, cal, ex, rm, corrected)
+    return out
+
+
+def _alive_expanded(f: DataFrame) -> DataFrame:
+    """Corrected existence (alive at the stamp: added before, not yet removed):
+    (e, k, er) groups expanded over the days they are alive on; O(days^2) at worst."""
+    ex = f.where(F.col("has_add"))
+    ex = ex.groupBy("e", "k", "er", "d0", "d_max").agg(F.count(F.lit(1)).alias("n"))
+    hi = F.least(F.col("d_max"), F.coalesce(F.date_sub("er", 1), F.col("d_max")))
     ex = ex.select("k", "n", "d0", _span(F.greatest(F.col("e"), F.col("d0")), hi).alias("day"))
     age = F.datediff("day", "k") + 1
     dc = F.datediff("day", "d0")
     eb = _bucket(age, dc)
-    ex = ex.groupBy("day").agg(
+    return ex.groupBy("day").agg(
         F.sum("n").alias("files_in_existence"),
         F.sum(F.col("n") * age).alias("__age_sum"),
         *[F.sum(F.when(eb == i, F.col("n")).otherwise(0)).alias(f"e{i + 1}") for i in range(10)],
     )
 
-    # -- removals: (er, rage) groups expanded over the days after the removal
-    rm = f.where(~F.col("live")).groupBy("er", "rage", "d0", "d_max").agg(F.count(F.lit(1)).alias("n"))
-    rm = rm.select("rage", "n", "d0", _span(F.greatest(F.col("er"), F.col("d0")), F.col("d_max")).alias("day"))
-    rb = _bucket(F.col("rage"), F.datediff("day", "d0"))
-    rm = rm.groupBy("day").agg(
-        F.sum("n").alias("files_in_removed"),
-        F.sum(F.col("n") * F.col("rage")).alias("__rage_sum"),
-        *[F.sum(F.when(rb == i, F.col("n")).otherwise(0)).alias(f"r{i + 1}") for i in range(10)],
-    )
 
+def _assemble(f: DataFrame, cal: DataFrame, ex: DataFrame, rm: DataFrame, corrected: bool) -> DataFrame:
     # -- "today" counts: one group per day
     adds = f.where(F.col("has_add") & (F.col("e") == F.col("k")))
     if not corrected:
