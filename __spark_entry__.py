@@ -20,6 +20,13 @@ from halflife.operators import ingest as I
 from halflife.sources.lifecycle import read_lifecycle_text, to_lifecycle_text, type_lifecycle, write_lifecycle_text
 from halflife.sources.patch_log import events_alias_map, render_events_log, stage_patch_log
 
+try:  # an optional part: the library and its queries work without it
+    from halflife.llm import registry as LLM
+except ModuleNotFoundError as missing:
+    if missing.name not in ("halflife.llm", "corpus_pipeline"):
+        raise
+    LLM = None
+
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-01-01"
 
@@ -228,7 +235,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "file_population_log": _q_file_population_log,
         "active_lines_stream": _q_active_lines_stream,
     }
-    return q
+    return q | (LLM.queries() if LLM else {})
 
 
 # ---------------------------------------------------------------- oracles
@@ -590,6 +597,10 @@ FROM files, b"""
 
 
 def oracle_sql() -> dict[str, str]:
+    return _report_oracles() | (LLM.oracle_sql() if LLM else {})
+
+
+def _report_oracles() -> dict[str, str]:
     gaps_only = _EVENTS + _gaps_cte() + "\nSELECT created, prev_created, gap_minutes FROM gap_min"
     return {
         "clean_int": "WITH "
