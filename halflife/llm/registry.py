@@ -6,6 +6,13 @@ import importlib
 
 # Query name -> module of this package; each has query(spark, sf_dir) and, where SQL can say it, ORACLE.
 MODULES = {
+    "op1_passages": "op1_passages",
+    "op4_topk": "op4_topk",
+    "op5_quality": "op5_quality",
+    "op6_suffixes": "op6_suffixes",
+    "op7_near_dups": "op7_near_dups",
+    "op8_bpe": "op8_bpe",
+    "op9_toxicity": "op9_toxicity",
     "op10_mixing": "op10_mixing",
 }
 
