@@ -17,8 +17,16 @@ from halflife import plans as P
 from halflife.functions import scalars as S
 from halflife.sources import bindings as B
 from halflife.operators import ingest as I
-from halflife.sources.lifecycle import read_lifecycle_text, to_lifecycle_text, type_lifecycle, write_lifecycle_text
+from halflife.sources.lifecycle import (
+    read_lifecycle_text,
+    to_lifecycle_text,
+    type_lifecycle,
+    write_lifecycle_parquet,
+    write_lifecycle_text,
+)
+from halflife.sources.parts_log import render_parts_log
 from halflife.sources.patch_log import events_alias_map, render_events_log, stage_patch_log
+from halflife.sources.reports import write_author_roster, write_report
 
 try:  # an optional part: the library and its queries work without it
     from halflife.llm import registry as LLM
@@ -29,6 +37,7 @@ except ModuleNotFoundError as missing:
 
 SMOKE_DIR = "/root/testdata/sf0.001"
 AS_OF = "2025-01-01"
+EXCLUDED = ["u7", "u13"]
 
 
 def _rounded(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -50,7 +59,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 def _q_clean_int(spark, d):
     """C1 on the lifespan text the log replay writes (raw whole days, may be negative)."""
-    base = B.orders_life_raw(spark, d)
+    base = B.staged_orders(spark, d)
     last_day = base.agg(
         (F.greatest(F.max("created"), F.max("removed")) + F.expr("INTERVAL 1 DAY")).alias("last_day")
     ).scalar()
@@ -66,7 +75,7 @@ def _q_lifecycle_csv(spark, d):
 
     from halflife.session import ensure_checkpoint_dir
 
-    base = B.orders_life_raw(spark, d)
+    base = B.staged_orders(spark, d)
     last_day = base.agg(
         (F.greatest(F.max("created"), F.max("removed")) + F.expr("INTERVAL 1 DAY")).alias("last_day")
     ).scalar()
@@ -78,14 +87,14 @@ def _q_lifecycle_csv(spark, d):
 def _q_clean_date(spark, d):
     """C2 on the created/removed text of the event lifecycle ('None' for open lines)."""
     text = to_lifecycle_text(B.events_life(spark, d))
-    stamps = text.select(F.col("created").alias("text")).unionByName(text.select(F.col("removed").alias("text")))
+    stamps = text.select(F.explode(F.array("created", "removed")).alias("text"))
     counts = stamps.groupBy("text").agg(F.count(F.lit(1)).alias("n"))
     return counts.select("text", S.clean_date("text").alias("parsed"), "n")
 
 
 def _q_cohort_ids(spark, d):
-    life = B.orders_life_raw(spark, d)
-    days = life.select(S.to_day("created").alias("day")).unionByName(life.select(S.to_day("removed").alias("day")))
+    life = B.staged_orders(spark, d)
+    days = life.select(F.explode(F.array(S.to_day("created"), S.to_day("removed"))).alias("day"))
     return days.groupBy("day").agg(F.count(F.lit(1)).alias("n")).select(
         "day",
         S.cohort_id("day").alias("cohort_id"),
@@ -129,24 +138,39 @@ def _q_history_summary(spark, d):
 def _events_log(spark, d):
     """The events table rendered as a patch log, written once per application
     and read back (S1): the log file every ingest query starts from."""
-    return stage_patch_log(render_events_log(spark, d), key=("events", d))
+    return stage_patch_log(render_events_log(spark, d), key=_events_key(spark, d))
 
 
-def _q_line_lifecycle(spark, d):
-    """Log -> roster -> alias map -> replayed line lifecycle."""
+def _events_key(spark, d):
+    return ("events", *B.tables_key(spark, d, ("events",)))
+
+
+def _events_aliased(spark, d, **options):
+    """Log -> roster -> alias map -> replayed lines; log, parse and replay are written once."""
     log = _events_log(spark, d)
     alias = events_alias_map(I.author_roster(I.commits(log)))
-    return I.line_lifecycle(log, alias)
+    return I.line_lifecycle(log, alias, key=("aliased", *_events_key(spark, d)), **options)
+
+
+def _events_diffs(spark, d):
+    return I.parse_log(_events_log(spark, d), key=_events_key(spark, d))
+
+
+def _q_line_lifecycle(spark, d):
+    """Log -> roster -> alias map -> replayed line lifecycle."""
+    return _events_aliased(spark, d)
 
 
 def _q_patch_hunks(spark, d):
-    hk = I.hunks(I.parse_log(_events_log(spark, d)))
-    return hk.select("new_path", "author", "committed", "kind", "start", "lines_added", "lines_removed")
+    return _hunk_rows(_events_diffs(spark, d))
+
+
+def _hunk_rows(diffs):
+    return I.hunks(diffs).select("new_path", "author", "committed", "kind", "start", "lines_added", "lines_removed")
 
 
 def _q_file_identity(spark, d):
-    diffs = I.parse_log(_events_log(spark, d))
-    _, files = I.file_identity(diffs)
+    _, files = I.file_identity(_events_diffs(spark, d))
     return files.select("path", "added", "removed")
 
 
@@ -161,25 +185,137 @@ def _q_alias_resolution(spark, d):
 
 
 def _q_history_summary_log(spark, d):
-    diffs = I.parse_log(_events_log(spark, d))
+    diffs = _events_diffs(spark, d)
     _, files = I.file_identity(diffs)
     return P.history_summary(files, I.history_bounds(diffs, files))
 
 
 def _q_author_rates_log(spark, d):
     """P6 on the replayed lines of the log, lines of removed files included."""
-    log = _events_log(spark, d)
-    alias = events_alias_map(I.author_roster(I.commits(log)))
-    return P.author_change_rates(I.line_lifecycle(log, alias, include_removed_files=True))
+    return P.author_change_rates(_events_aliased(spark, d, include_removed_files=True))
 
 
 def _q_file_population_log(spark, d):
     """P7 on the files of the log, bounded by its first add and last change."""
-    diffs = I.parse_log(_events_log(spark, d))
+    diffs = _events_diffs(spark, d)
+    _, files = I.file_identity(diffs)
+    return P.file_population(files, I.history_bounds(diffs, files))
+
+
+# The parts log: files of several lines, hunks with context, renames, deletes, re-creates, quoted paths.
+
+
+def _parts_key(spark, d, faulty=False):
+    return ("parts", faulty, *B.tables_key(spark, d, B.ORDER_TABLES))
+
+
+def _parts_log(spark, d, faulty=False):
+    return stage_patch_log(render_parts_log(spark, d, faulty), key=_parts_key(spark, d, faulty))
+
+
+def _parts_diffs(spark, d, faulty=False):
+    return I.parse_log(_parts_log(spark, d, faulty), key=_parts_key(spark, d, faulty))
+
+
+def _parts_lines(spark, d, **options):
+    return I.line_lifecycle(_parts_log(spark, d), key=_parts_key(spark, d), **options)
+
+
+def _q_patch_hunks_parts(spark, d):
+    return _hunk_rows(_parts_diffs(spark, d))
+
+
+def _q_file_identity_parts(spark, d):
+    _, files = I.file_identity(_parts_diffs(spark, d))
+    return files.select("path", "added", "removed")
+
+
+def _q_line_lifecycle_parts(spark, d):
+    return _parts_lines(spark, d)
+
+
+def _q_line_lifecycle_parts_all(spark, d):
+    return _parts_lines(spark, d, include_removed_files=True)
+
+
+def _q_author_rates_parts(spark, d):
+    return P.author_change_rates(_parts_lines(spark, d, include_removed_files=True))
+
+
+def _q_file_population_parts(spark, d):
+    diffs = _parts_diffs(spark, d)
     _, files = I.file_identity(diffs)
     return P.file_population(files, I.history_bounds(diffs, files))
 
 
+def _q_replay_errors(spark, d):
+    """Mismatches of a log with known faults, by file (Q5)."""
+    errors = I.ingest_errors(_parts_diffs(spark, d, faulty=True), key=_parts_key(spark, d, faulty=True))
+    return errors.select("kind", "path", "n")
+
+
+# Sinks: written below the shared folder and read back.
+
+
+def _scratch(spark, name):
+    import uuid
+
+    from halflife.session import ensure_checkpoint_dir
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}/{uuid.uuid4().hex}"
+
+
+def _q_alias_csv(spark, d):
+    """The edited alias file - blanks around values, a later line wins - read and applied to the suppliers."""
+    path = _scratch(spark, "alias-csv")
+    s = spark.read.parquet(f"{d}/supplier.parquet").select("s_suppkey", "s_nationkey")
+    line = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(", "), F.lit("n"), F.col("s_nationkey").cast("string"), F.lit(" "))
+    earlier = F.concat(F.lit("s"), F.col("s_suppkey").cast("string"), F.lit(",old"))
+    lines = F.when(F.col("s_suppkey") % 2 == 0, F.array(earlier, line)).otherwise(F.array(line))
+    s.where("s_suppkey % 5 <> 0").select(F.posexplode(lines).alias("pos", "value"), "s_suppkey").sort("s_suppkey", "pos").select("value").write.text(path)
+    people = s.select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("author"))
+    return I.resolve_aliases(people, I.read_alias_map(spark, path)).groupBy("author").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _q_report_sink(spark, d):
+    """The weekly report as one sorted CSV file with a header, read back."""
+    path = _scratch(spark, "report")
+    write_report(P.active_lines(B.orders_life(spark, d)), path, order_by=["week"], single_file=True)
+    return spark.read.csv(path, header=True, schema="week int, lines_created long, running_created long, lines_removed long, running_removed long, active_lines long")
+
+
+def _q_daily_sink(spark, d):
+    """The daily change rates as CSV, read back."""
+    path = _scratch(spark, "daily")
+    write_report(P.author_change_rates(B.events_life(spark, d)), path, order_by=["date", "author"])
+    return spark.read.csv(path, header=True, schema="date date, author string, lines_added long, lines_removed long")
+
+
+def _q_roster_sink(spark, d):
+    """The roster as the template of an alias file, read back as one."""
+    path = _scratch(spark, "roster")
+    write_author_roster(I.author_roster(I.commits(_events_log(spark, d))), path, single_file=True)
+    return I.read_alias_map(spark, path)
+
+
+def _q_lifecycle_parquet(spark, d):
+    """The typed hand-over table."""
+    path = _scratch(spark, "lifecycle")
+    write_lifecycle_parquet(B.events_life(spark, d), path)
+    return spark.read.parquet(path)
+
+
+def _q_author_decay_today(spark, d):
+    """Ages against the current date."""
+    return _rounded(P.author_decay(B.orders_life(spark, d), path_like="%.java"))
+
+
+def _q_day_stamps(spark, d):
+    """First instant and two fixed clock times of the days of the event lifecycle."""
+    days = B.events_life(spark, d).groupBy(S.to_day("created").alias("day")).agg(F.max("created").alias("last"), F.count(F.lit(1)).alias("n"))
+    return days.select("day", S.day_start("last").alias("day_start"), S.day_stamp("last").alias("day_end"), S.day_stamp("last", 1, 0, 0).alias("day_one"), "n")
+
+
 def _q_active_lines_stream(spark, d):
     """Streaming P3 (corrected): the order-line lifecycle as line-event files,
     consumed by the streaming job (availableNow) in two arrivals; returns its
@@ -219,7 +355,22 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "active_lines_corrected": _report(P.active_lines, B.orders_life, corrected=True),
         "active_people": _report(P.active_people, B.orders_life),
         "active_people_corrected": _report(P.active_people, B.orders_life, corrected=True),
-        "author_decay": _report(P.author_decay, B.orders_life, as_of=AS_OF),
+        "author_decay": _report(P.author_decay, B.orders_life, path_like="%.java", as_of=AS_OF),
+        "author_decay_excluded": _report(P.author_decay, B.orders_life, exclude=EXCLUDED, as_of=AS_OF),
+        "author_decay_today": _q_author_decay_today,
+        "alias_csv": _q_alias_csv,
+        "report_sink": _q_report_sink,
+        "daily_sink": _q_daily_sink,
+        "roster_sink": _q_roster_sink,
+        "lifecycle_parquet": _q_lifecycle_parquet,
+        "day_stamps": _q_day_stamps,
+        "patch_hunks_parts": _q_patch_hunks_parts,
+        "file_identity_parts": _q_file_identity_parts,
+        "line_lifecycle_parts": _q_line_lifecycle_parts,
+        "line_lifecycle_parts_all": _q_line_lifecycle_parts_all,
+        "author_rates_parts": _q_author_rates_parts,
+        "file_population_parts": _q_file_population_parts,
+        "replay_errors": _q_replay_errors,
         "author_rates": _report(P.author_change_rates, B.events_life),
         "author_rates_corrected": _report(P.author_change_rates, B.events_life, corrected=True),
         "file_population": _q_file_population(False),
@@ -480,11 +631,11 @@ SELECT week, count(DISTINCT person) AS active_people FROM people GROUP BY week""
     return base + "," + people
 
 
-def _p5_sql(base: str) -> str:
+def _p5_sql(base: str, rows: str = "path LIKE '%.java'", today: str = f"DATE '{AS_OF}'") -> str:
     return (
         base
         + f""",
-rows_ AS (SELECT * FROM life WHERE path LIKE '%.java' AND creator IS NOT NULL),
+rows_ AS (SELECT * FROM life WHERE {rows} AND creator IS NOT NULL),
 tot AS (SELECT count(*) FILTER (WHERE removed IS NULL) AS act FROM rows_),
 per AS (
   SELECT creator, count(*) AS lines_created,
@@ -497,9 +648,9 @@ per AS (
 )
 SELECT creator, lines_created, lines_removed, author_first, author_last, round(avg_lifespan, 6) AS avg_lifespan,
        lines_removed_by_author, lines_active,
-       CAST(DATE '{AS_OF}' - author_first AS INTEGER) AS account_age,
+       CAST({today} - author_first AS INTEGER) AS account_age,
        CAST(author_last - author_first AS INTEGER) AS account_lifespan,
-       CAST(DATE '{AS_OF}' - author_last AS INTEGER) AS account_dormant_for,
+       CAST({today} - author_last AS INTEGER) AS account_dormant_for,
        round(CAST(lines_removed AS DOUBLE) / lines_created, 6) AS pct_removed,
        round(CAST(lines_removed_by_author AS DOUBLE) / lines_created, 6) AS pct_removed_by_self,
        round(CAST(lines_active AS DOUBLE) / nullif(act, 0), 6) AS pct_of_active_code_base
@@ -596,6 +747,63 @@ FROM files, b"""
     )
 
 
+# The parts log, told without a log: which lines each step adds and what ends them.
+_PARTS_LOG = """WITH steps AS (
+  SELECT l_partkey AS part, p_size % 2 = 0 AS java, i, i % 8 AS j, i // 8 AS epoch,
+    'u' || CAST(o_custkey % 50 AS VARCHAR) || '@example.org' AS author,
+    TIMESTAMP '2015-01-05 00:00:00' + to_days(CAST(7 * i AS INTEGER)) + to_seconds(l_partkey % 600000) AS tm
+  FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey ORDER BY l_orderkey, l_linenumber) - 1 AS i FROM lineitem)
+  JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+),
+pfiles AS (
+  SELECT part, epoch, min(tm) AS added, max(tm) FILTER (WHERE j = 7) AS removed, max(author) FILTER (WHERE j = 7) AS deleter,
+    max(j) AS last_j,
+    CASE WHEN part % 3 = 0 THEN 'a "b"/été' || chr(9) ELSE 'parts' END || '/'
+      || CASE WHEN max(j) >= 5 THEN 'v3/' WHEN max(j) = 4 THEN 'v2/' ELSE '' END
+      || 'p' || part || CASE WHEN any_value(java) THEN '.java' ELSE '.py' END AS path
+  FROM steps GROUP BY part, epoch
+),
+ends AS (
+  SELECT s.*, f.path, f.removed AS file_removed, f.deleter, t.author AS next_author, t.tm AS next_at
+  FROM steps s JOIN pfiles f USING (part, epoch)
+  LEFT JOIN steps t ON t.part = s.part AND t.i = s.i + 3 AND s.j <= 3
+  WHERE s.j <> 7
+),
+plines AS (
+  SELECT path, author AS creator, tm AS created, coalesce(next_author, deleter) AS remover,
+    coalesce(next_at, file_removed) AS removed, file_removed FROM ends
+  UNION ALL
+  SELECT path, author, tm, deleter, file_removed, file_removed FROM ends
+)"""
+
+_PARTS_LIFE = f"""
+SELECT path, creator, remover, created, removed,
+  greatest({_days('created', "coalesce(removed, (SELECT max(tm) FROM steps) + INTERVAL 1 DAY)")}, -1) AS lifespan
+FROM plines"""
+
+_PARTS_HUNKS = """,
+shown AS (
+  SELECT *, CASE WHEN part % 3 = 0 THEN 'a "b"/été' || chr(9) ELSE 'parts' END || '/'
+    || CASE WHEN j >= 5 THEN 'v3/' WHEN j = 4 THEN 'v2/' ELSE '' END || 'p' || part || CASE WHEN java THEN '.java' ELSE '.py' END AS path
+  FROM steps
+)
+SELECT path AS new_path, author, tm AS committed, CASE j WHEN 0 THEN 'C' WHEN 4 THEN 'R' ELSE 'M' END AS kind, 0 AS start,
+  CASE WHEN j = 0 THEN 2 ELSE 1 END AS lines_added, CASE WHEN j >= 3 THEN 1 ELSE 0 END AS lines_removed FROM shown WHERE j <> 7
+UNION ALL
+SELECT path, author, tm, CASE j WHEN 4 THEN 'R' ELSE 'M' END, CAST(CASE j WHEN 1 THEN 2 WHEN 2 THEN 3 ELSE j + 1 END AS INTEGER), 1, 0
+FROM shown WHERE j BETWEEN 1 AND 6
+UNION ALL
+SELECT path, author, tm, 'D', 0, 0, 10 FROM shown WHERE j = 7 AND epoch % 2 = 1"""
+
+_P6_TAIL = """,
+ev AS (
+  SELECT CAST(created AS DATE) AS date, creator AS author, 1 AS a, 0 AS r FROM life WHERE removed IS NULL
+  UNION ALL
+  SELECT CAST(removed AS DATE), remover, 0, 1 FROM life WHERE removed IS NOT NULL
+)
+SELECT date, author, CAST(sum(a) AS BIGINT) AS lines_added, CAST(sum(r) AS BIGINT) AS lines_removed FROM ev GROUP BY date, author"""
+
+
 def oracle_sql() -> dict[str, str]:
     return _report_oracles() | (LLM.oracle_sql() if LLM else {})
 
@@ -651,6 +859,33 @@ FROM life GROUP BY 1, 2""",
         "active_people": _p4_sql(_ORDERS, False),
         "active_people_corrected": _p4_sql(_ORDERS, True),
         "author_decay": _p5_sql(_ORDERS),
+        "author_decay_excluded": _p5_sql(_ORDERS, "creator NOT IN ('u7', 'u13')"),
+        "author_decay_today": _p5_sql(_ORDERS, today="current_date"),
+        "alias_csv": """
+SELECT CASE WHEN s_suppkey % 5 = 0 THEN 's' || s_suppkey ELSE 'n' || s_nationkey END AS author, count(*) AS n
+FROM supplier GROUP BY 1""",
+        "report_sink": _p3_sql(_ORDERS),
+        "daily_sink": _p6_sql(_EVENTS, False),
+        "roster_sink": """
+SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '@example.org' AS alias_from,
+       'u' || CAST(user_id AS VARCHAR) || '@example.org' AS alias_to
+FROM events""",
+        "lifecycle_parquet": _EVENTS + "\nSELECT path, creator, remover, created, removed, lifespan FROM life",
+        "day_stamps": _EVENTS + """
+SELECT CAST(created AS DATE) AS day, date_trunc('day', max(created))::TIMESTAMP AS day_start,
+  date_trunc('day', max(created)) + INTERVAL '23:59:59' AS day_end, date_trunc('day', max(created)) + INTERVAL '01:00:00' AS day_one,
+  count(*) AS n
+FROM life GROUP BY 1""",
+        "patch_hunks_parts": _PARTS_LOG + _PARTS_HUNKS,
+        "file_identity_parts": _PARTS_LOG + "\nSELECT path, added, removed FROM pfiles",
+        "line_lifecycle_parts": _PARTS_LOG + _PARTS_LIFE + "\nWHERE file_removed IS NULL",
+        "line_lifecycle_parts_all": _PARTS_LOG + _PARTS_LIFE,
+        "author_rates_parts": _PARTS_LOG + ", life AS (" + _PARTS_LIFE + ")" + _P6_TAIL,
+        "file_population_parts": _p7_sql(False, _PARTS_LOG + """,
+files AS (SELECT added, removed FROM pfiles),
+b AS (SELECT (SELECT min(added) FROM pfiles) AS start, (SELECT max(tm) FROM steps) AS last_change)"""),
+        "replay_errors": _PARTS_LOG + """
+SELECT 'replay' AS kind, path, CAST(2 AS BIGINT) AS n FROM pfiles WHERE part % 10 = 0 AND last_j >= 6""",
         "author_rates": _p6_sql(_EVENTS, False),
         "author_rates_corrected": _p6_sql(_EVENTS, True),
         "file_population": _p7_sql(False),

@@ -20,6 +20,8 @@ __all__ = [
     "cohort_sort_key",
     "cohort_label",
     "micros_between",
+    "clock_micros",
+    "time_text",
     "days_between",
     "minutes_between",
     "whole_days",
@@ -98,8 +100,23 @@ def cohort_label(c) -> Column:
 
 
 def micros_between(start, end) -> Column:
-    """end - start in microseconds (zone-free for TIMESTAMP_NTZ)."""
-    return F.timestamp_diff("MICROSECOND", col_of(start), col_of(end))
+    """end - start in microseconds, by the calendar and the clock: no session zone takes part."""
+    start, end = col_of(start), col_of(end)
+    days = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint")
+    return days * MICROS_PER_DAY + clock_micros(end) - clock_micros(start)
+
+
+def clock_micros(c) -> Column:
+    """Microseconds since midnight on the value's own clock."""
+    c = col_of(c)
+    seconds = F.extract(F.lit("SECOND"), c).cast("decimal(8,6)")
+    minutes = (F.hour(c) * 60 + F.minute(c)).cast("bigint")
+    return minutes * (60 * MICROS_PER_SECOND) + (seconds * MICROS_PER_SECOND).cast("bigint")
+
+
+def time_text(c) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' as the value's own clock shows it (a cast, so no zone)."""
+    return F.substring(col_of(c).cast("string"), 1, 19)
 
 
 def whole_days(start, end) -> Column:
@@ -162,4 +179,4 @@ def day_stamp(c, hour=23, minute=59, second=59) -> Column:
 
 def day_string(c) -> Column:
     """C22: '%Y-%m-%d' rendering."""
-    return F.date_format(col_of(c), "yyyy-MM-dd")
+    return F.to_date(col_of(c)).cast("string")

@@ -26,15 +26,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halflife.functions.scalars import lifespan_days
-from halflife.operators.joins import broadcast_if_small
-from halflife.session import ensure_checkpoint_dir, stage
+from halflife.operators.sequence import fill_forward_in_buckets
+from halflife.session import ensure_checkpoint_dir, stage, staged_path
 
 # English month abbreviations of git's default date format.
 MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
 
-# Author e-mail inside <...> at the end of the Author line.
+# Fixed value: the pattern of an author's e-mail, inside <...> at the end of the Author line.
 EMAIL_PATTERN = r"<([\w.\-_]+@[\w.\-_]+)>$"
 DATE_PATTERN = r"(?m)^Date:\s+\S+\s+(\S+)\s+(\d+)\s+(\d+):(\d+):(\d+)\s+(\d+)"
+ISO_DATE_PATTERN = r"^Date:\s+(\d{4})-(\d\d)-(\d\d)[ T](\d\d):(\d\d):(\d\d)"
 
 KIND_CREATE, KIND_MODIFY, KIND_DELETE, KIND_RENAME = "C", "M", "D", "R"
 
@@ -58,12 +59,13 @@ def author_of(text: Column) -> Column:
 
 
 def commit_date_of(text: Column) -> Column:
-    """The Date line's wall time (month, day, clock, year; offset dropped)."""
+    """The Date line's wall time, offset dropped; git's default format or ISO, else null."""
     line = F.regexp_extract(text, r"(?m)^(Date:.*)$", 1)  # one scan; the groups then read one short line
     month = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), F.regexp_extract(line, DATE_PATTERN, 1))
     parts = [F.regexp_extract(line, DATE_PATTERN, i).try_cast("int") for i in (6, 2, 3, 4, 5)]
     year, day, hour, minute, second = parts
-    return F.try_make_timestamp_ntz(year, month.cast("int"), day, hour, minute, second)
+    iso = [F.regexp_extract(line, ISO_DATE_PATTERN, i).try_cast("int") for i in range(1, 7)]
+    return F.coalesce(F.try_make_timestamp_ntz(year, month.cast("int"), day, hour, minute, second), F.try_make_timestamp_ntz(*iso))
 
 
 def commits(log: DataFrame) -> DataFrame:
@@ -79,43 +81,83 @@ def commits(log: DataFrame) -> DataFrame:
     )
 
 
+def dated(diffs: DataFrame) -> DataFrame:
+    """Give diffs of commits without a readable date the last date read before them in the log.
+
+    ``date_missing`` marks them (``ingest_errors`` counts them).  At the log's head, where
+    nothing precedes, the first date of the log is taken.
+    """
+    rows = diffs.withColumn("date_missing", F.col("committed").isNull()).withColumn("__all", F.lit(0))
+    first = diffs.where(F.col("committed").isNotNull()).agg(F.min_by("committed", F.struct("seq", "dpos"))).scalar()
+    filled = fill_forward_in_buckets(rows, ["__all"], ["seq", "dpos"], "committed", F.col("seq_bucket"), "__date")
+    return filled.withColumn("committed", F.coalesce("__date", first)).drop("__all", "__date")
+
+
 # ------------------------------------------------------------------ I2/I3/I4
 
 
+# git's one-letter escapes in quoted paths, and the bytes they stand for.
+ESCAPES = {"a": "07", "b": "08", "t": "09", "n": "0A", "v": "0B", "f": "0C", "r": "0D", '"': "22", "\\": "5C"}
+
+
+def unquote(c: Column) -> Column:
+    """A path as the log shows it -> the path: quotes, octal and one-letter escapes undone."""
+    body = F.substring(c, 2, F.length(c) - 2) if isinstance(c, Column) else None
+    parts = F.regexp_extract_all(body, F.lit(r"\\[0-7]{3}|\\.|[^\\]+"), F.lit(0))
+
+    def as_hex(part: Column) -> Column:
+        octal = F.lpad(F.conv(F.substring(part, 2, 3), 8, 16), 2, "0")
+        letter = F.element_at(F.create_map(*[F.lit(x) for kv in ESCAPES.items() for x in kv]), F.substring(part, 2, 1))
+        plain = F.hex(F.encode(part, "UTF-8"))
+        return F.when(part.rlike(r"^\\[0-7]{3}$"), octal).when(part.startswith("\\"), F.coalesce(letter, plain)).otherwise(plain)
+
+    path = F.decode(F.unhex(F.array_join(F.transform(parts, as_hex), "")), "UTF-8")
+    return F.when(c.rlike(r'^".*"$'), F.when(body.contains("\\"), path).otherwise(body)).otherwise(c)
+
+
+def _trimmed(c: Column) -> Column:
+    """Without the carriage return or tab that ends some header lines."""
+    return F.regexp_replace(c, r"[\t\r]+$", "")
+
+
 def _strip_side(c: Column, side: str) -> Column:
-    """'a/x' -> 'x', '"a/x y"' -> 'x y', '/dev/null' -> null, trailing blanks dropped."""
-    c = F.regexp_replace(c, r"\s+$", "")
-    c = F.regexp_replace(c, r'^"(.*)"$', "$1")
+    """'a/x' -> 'x', '"a/x y"' -> 'x y', '/dev/null' -> null."""
+    c = unquote(_trimmed(c))
     return F.when(c == "/dev/null", F.lit(None)).otherwise(_nz(F.regexp_replace(c, f"^{side}/", "")))
 
 
+def _after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+
+
 def file_diffs(cm: DataFrame) -> DataFrame:
     """One row per file diff of a commit, with paths, flags and hunk texts.
 
     Path precedence: rename lines, then ---/+++ lines, then the diff line.
-    Quoted paths are accepted (quotes stripped, escapes kept as written).
+    Quoted paths are unquoted wherever they stand.
     """
     parts = F.split(F.col("text"), r"\ndiff --git ")
     d = cm.select(
         "seq", "seq_bucket", "author", "committed",
-        F.posexplode(F.slice(parts, 2, 1 << 30)).alias("dpos", "diff"),
+        F.posexplode(_after_first(parts)).alias("dpos", "diff"),
     )
     diff = F.col("diff")
     header = F.substring_index(diff, "\n@@ -", 1)
     first = F.regexp_extract(diff, r"^([^\n]*)", 1)
     same = F.regexp_extract(first, r"^a/(.*) b/\1$", 1)
-    q_old = F.regexp_extract(first, r'^"a/(.*)" "?b/.*$', 1)
-    q_new = F.regexp_extract(first, r'^"?a/.*"? "b/(.*)"$', 1)
+    quoted = r'"(?:[^"\\]|\\.)*"'
+    q_old = _strip_side(F.regexp_extract(first, rf"^({quoted}) ", 1), "a")
+    q_new = _strip_side(F.regexp_extract(first, rf" ({quoted})$", 1), "b")
     s_old = F.regexp_extract(first, r"^a/(\S+) b/\S+$", 1)
     s_new = F.regexp_extract(first, r"^a/\S+ b/(\S+)$", 1)
     line_old = F.coalesce(_nz(same), _nz(q_old), _nz(s_old))
     line_new = F.coalesce(_nz(same), _nz(q_new), _nz(s_new))
     minus_raw = _nz(F.regexp_extract(header, r"(?m)^--- (.*)$", 1))
     plus_raw = _nz(F.regexp_extract(header, r"(?m)^\+\+\+ (.*)$", 1))
-    rename_from = _nz(F.regexp_replace(F.regexp_extract(header, r"(?m)^rename from (.*)$", 1), r"\s+$", ""))
-    rename_to = _nz(F.regexp_replace(F.regexp_extract(header, r"(?m)^rename to (.*)$", 1), r"\s+$", ""))
-    is_create = header.rlike(r"(?m)^new file mode ") | (F.regexp_replace(minus_raw, r"\s+$", "") == "/dev/null")
-    is_delete = header.rlike(r"(?m)^deleted file mode ") | (F.regexp_replace(plus_raw, r"\s+$", "") == "/dev/null")
+    rename_from = _nz(unquote(_trimmed(F.regexp_extract(header, r"(?m)^rename from (.*)$", 1))))
+    rename_to = _nz(unquote(_trimmed(F.regexp_extract(header, r"(?m)^rename to (.*)$", 1))))
+    is_create = header.rlike(r"(?m)^new file mode ") | (_trimmed(minus_raw) == "/dev/null")
+    is_delete = header.rlike(r"(?m)^deleted file mode ") | (_trimmed(plus_raw) == "/dev/null")
     old_path = F.coalesce(rename_from, _strip_side(minus_raw, "a"), line_old)
     new_path = F.coalesce(rename_to, _strip_side(plus_raw, "b"), line_new)
     out = d.select(
@@ -125,7 +167,7 @@ def file_diffs(cm: DataFrame) -> DataFrame:
         F.coalesce(is_create, F.lit(False)).alias("is_create"),
         F.coalesce(is_delete, F.lit(False)).alias("is_delete"),
         rename_from.isNotNull().alias("is_rename"),
-        F.slice(F.split(diff, r"\n@@ -"), 2, 1 << 30).alias("hunk_texts"),
+        _after_first(F.split(diff, r"\n@@ -")).alias("hunk_texts"),
     )
     kind = (
         F.when(F.col("is_delete"), F.lit(KIND_DELETE))
@@ -213,9 +255,9 @@ def read_alias_map(spark, path: str) -> DataFrame:
 def resolve_aliases(df: DataFrame, alias: DataFrame, col: str = "author") -> DataFrame:
     """One mapping step; unmapped names keep their own value.
 
-    The alias map is broadcast only after its row count is checked.
+    No hint: Spark broadcasts the map if its size allows, and joins by shuffle if not.
     """
-    m = broadcast_if_small(alias.select(F.col("alias_from").alias("__af"), F.col("alias_to").alias("__at")))
+    m = alias.select(F.col("alias_from").alias("__af"), F.col("alias_to").alias("__at"))
     out = df.join(m, df[col] == m["__af"], "left")
     return out.withColumn(col, F.coalesce(F.col("__at"), F.col(col))).drop("__af", "__at")
 
@@ -249,25 +291,40 @@ def path_events(diffs: DataFrame) -> DataFrame:
 
 
 def _resolve_roots(links: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """Pointer jumping: (seg, parent) -> (seg, root).  Each round halves the
-    remaining chain length; lineage is cut with ``checkpoint()`` every round."""
-    cur = links.select(
-        "seg",
-        F.coalesce(F.col("parent"), F.col("seg")).alias("anc"),
-        F.col("parent").isNull().alias("done"),
-    )
+    """Pointer jumping: (seg, parent) -> (seg, root), for segments that have a parent.
+
+    Only renamed segments take part; a segment without a parent is its own root.
+    Each round doubles the distance an open link spans and closes those that arrived;
+    lineage is cut with ``checkpoint()`` every round.  A log whose chains are longer
+    than 2^max_rounds renames is refused.
+    """
+    open_ = links.where(F.col("parent").isNotNull()).select("seg", F.col("parent").alias("anc"))
+    ensure_checkpoint_dir(links.sparkSession)
+    open_, closed = open_.checkpoint(), []
     for _ in range(max_rounds):
-        if cur.where(~F.col("done")).limit(1).count() == 0:
+        if open_.isEmpty():
             break
-        ensure_checkpoint_dir(cur.sparkSession)
-        b = cur.select(F.col("seg").alias("b_seg"), F.col("anc").alias("b_anc"), F.col("done").alias("b_done"))
-        nxt = cur.join(b, cur["anc"] == b["b_seg"], "left").select(
-            "seg",
-            F.when(F.col("done"), F.col("anc")).otherwise(F.coalesce(F.col("b_anc"), F.col("anc"))).alias("anc"),
-            (F.col("done") | F.coalesce(F.col("b_done"), F.lit(True))).alias("done"),
-        )
-        cur = nxt.checkpoint()
-    return cur.select("seg", F.col("anc").alias("root"))
+        further = open_.select(F.col("seg").alias("b_seg"), F.col("anc").alias("b_anc"))
+        # A parent that is no open link itself is a root, or was closed with its root in a round before.
+        known = None
+        for c in closed:
+            known = c if known is None else known.unionByName(c)
+        step = open_.join(further, open_["anc"] == further["b_seg"], "left")
+        if known is not None:
+            known = known.select(F.col("seg").alias("k_seg"), F.col("root").alias("k_root"))
+            step = step.join(known, F.col("anc") == F.col("k_seg"), "left")
+        else:
+            step = step.withColumn("k_root", F.lit(None).cast(links.schema["seg"].dataType))
+        step = step.select("seg", F.coalesce("b_anc", "k_root", "anc").alias("anc"), F.col("b_seg").isNull().alias("done")).checkpoint()
+        closed.append(step.where("done").select("seg", F.col("anc").alias("root")))
+        open_ = step.where("not done").select("seg", "anc")
+    else:
+        if not open_.isEmpty():
+            raise ValueError(f"rename chains are not resolved after {max_rounds} rounds of doubling")
+    out = closed[0] if closed else links.limit(0).select("seg", F.col("seg").alias("root"))
+    for c in closed[1:]:
+        out = out.unionByName(c)
+    return out
 
 
 _ENDS = ("D", "RO")
@@ -349,7 +406,8 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     links = begins.join(ro, (begins["ev"] == "RI") & (begins["seq"] == ro["r_seq"]) & (begins["dpos"] == ro["r_dpos"]), "left")
     links = links.select("seg", "parent", "committed", "path")
     roots = _resolve_roots(links.select("seg", "parent"))
-    segs = stage(links.join(roots, "seg").withColumn("file_id", F.md5(F.to_json(F.col("root")))), "segments")
+    rooted = links.join(roots, "seg", "left").withColumn("root", F.coalesce("root", "seg"))
+    segs = stage(rooted.withColumn("file_id", F.md5(F.to_json(F.col("root")))), "segments")
 
     added = segs.where(F.col("seg") == F.col("root")).select("file_id", F.col("committed").alias("added"))
     latest = segs.groupBy("file_id").agg(F.max_by("path", F.col("seg.start")).alias("path"))
@@ -367,7 +425,7 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 REPLAY_SCHEMA = (
     "file_id STRING, creator STRING, created TIMESTAMP_NTZ, remover STRING, removed TIMESTAMP_NTZ, "
-    "replay_errors INT"
+    "is_removed BOOLEAN, replay_errors INT"
 )
 
 
@@ -447,17 +505,25 @@ class LineList:
         return out
 
 
+REPLAY_BATCH = 10_000
+
+
 def _replay(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Replay one file's hunks in log order.  Live lines are (creator, created)
-    in a :class:`LineList`; only they are held, the hunks stream through."""
+    in a :class:`LineList`; only they are held, the hunks stream through and the
+    lines alive at the end leave in batches.  A removal or context line where the
+    file has no line is counted, and a step back in log order is refused."""
     (file_id,) = key
     live = LineList()
-    errors = 0
+    errors, last = 0, -1
     for pdf in batches:
         out_c, out_t, out_r, out_rt = [], [], [], []
-        for author, when, start, ops, closes in zip(
-            pdf["author"], pdf["committed"], pdf["start"], pdf["ops"], pdf["closes"]
+        for step, author, when, start, ops, closes in zip(
+            pdf["step"], pdf["author"], pdf["committed"], pdf["start"], pdf["ops"], pdf["closes"]
         ):
+            if step <= last:
+                raise ValueError(f"hunks of file {file_id} reached the replay out of order")
+            last = step
             if closes:
                 for c, t in live.clear():
                     out_c.append(c), out_t.append(t), out_r.append(author), out_rt.append(when)
@@ -465,7 +531,7 @@ def _replay(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[p
             live.seek(int(start))
             for ch in ops:
                 if ch == " ":
-                    live.skip()
+                    errors += not live.skip()
                 elif ch == "+":
                     live.insert((author, when))
                 elif ch == "-":
@@ -477,26 +543,28 @@ def _replay(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[p
         if out_c:
             yield pd.DataFrame(
                 {"file_id": file_id, "creator": out_c, "created": out_t, "remover": out_r,
-                 "removed": out_rt, "replay_errors": 0}
+                 "removed": out_rt, "is_removed": True, "replay_errors": None}
             )
     rest = live.items()
-    if rest:
+    for at in range(0, len(rest), REPLAY_BATCH):
+        part = rest[at : at + REPLAY_BATCH]
         yield pd.DataFrame(
             {
                 "file_id": file_id,
-                "creator": [c for c, _ in rest],
-                "created": [t for _, t in rest],
+                "creator": [c for c, _ in part],
+                "created": [t for _, t in part],
                 "remover": None,
-                "removed": pd.Series([pd.NaT] * len(rest), dtype="datetime64[us]"),
-                "replay_errors": 0,
+                "removed": pd.Series([pd.NaT] * len(part), dtype="datetime64[us]"),
+                "is_removed": False,
+                "replay_errors": None,
             }
         )
     if errors:
-        # One marker row per file with mismatching hunks (Q5): counted, never invented.
+        # One row per file with mismatching hunks (Q5), told from lines by its count: counted, never invented.
         nat = pd.Series([pd.NaT], dtype="datetime64[us]")
         yield pd.DataFrame(
             {"file_id": [file_id], "creator": [None], "created": nat, "remover": [None], "removed": nat,
-             "replay_errors": [errors]}
+             "is_removed": [None], "replay_errors": [errors]}
         )
 
 
@@ -505,21 +573,23 @@ def replay_lines(hk: DataFrame, diff_files: DataFrame, partitions: int | None =
 
     Hunks and delete markers are hash-partitioned by file and sorted by
     (file, log order) so each group streams in order into the grouped map;
-    files are replayed in parallel.  A valid delete closes every line still
-    alive (binary and empty deletes included).
+    files are replayed in parallel, in as many partitions as their size asks for
+    (AQE), or ``partitions``.  A valid delete closes every line still alive (binary
+    and empty deletes included), after the hunks of its own diff.
     """
     h = hk.join(diff_files.select("seq", "dpos", "file_id"), ["seq", "dpos"]).select(
-        "file_id", "seq", F.lit(1).alias("phase_order"), "dpos", "hpos", "author", "committed", "start", "ops",
-        F.lit(False).alias("closes"),
+        "file_id", "seq", "dpos", F.lit(False).alias("closes"), "hpos", "author", "committed", "start", "ops",
     )
     closes = diff_files.where(F.col("ev") == "D").select(
-        "file_id", "seq", F.lit(1).alias("phase_order"), "dpos", F.lit(1 << 30).alias("hpos"),
-        "author", "committed", F.lit(0).alias("start"), F.lit("").alias("ops"), F.lit(True).alias("closes"),
+        "file_id", "seq", "dpos", F.lit(True).alias("closes"), F.lit(0).alias("hpos"),
+        "author", "committed", F.lit(0).alias("start"), F.lit("").alias("ops"),
     )
     rows = h.unionByName(closes)
-    n = partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = rows.repartition(n, "file_id").sortWithinPartitions("file_id", "seq", "phase_order", "dpos", "hpos")
-    return rows.select("file_id", "author", "committed", "start", "ops", "closes").groupBy("file_id").applyInPandas(
+    rows = rows.repartition(partitions, "file_id") if partitions else rows.repartition("file_id")
+    rows = rows.sortWithinPartitions("file_id", "seq", "dpos", "closes", "hpos")
+    # The row's place after the sort: the replay checks that nothing moved it since.
+    rows = rows.withColumn("step", F.monotonically_increasing_id())
+    return rows.select("file_id", "step", "author", "committed", "start", "ops", "closes").groupBy("file_id").applyInPandas(
         _replay, REPLAY_SCHEMA
     )
 
@@ -536,14 +606,47 @@ def history_bounds(diffs: DataFrame, files: DataFrame) -> DataFrame:
     return last.select(start.alias("start"), "last_change")
 
 
-def parse_log(log: DataFrame, alias: DataFrame | None = None) -> DataFrame:
-    """I1-I5 once: commits -> aliased authors -> diffs with compact hunks,
+def parse_log(log: DataFrame, alias: DataFrame | None = None, key: tuple | None = None) -> DataFrame:
+    """I1-I5 once: commits -> aliased authors -> dated diffs with compact hunks,
     written as parquet under the checkpoint dir.  Every later step (identity,
-    bounds, replay, reports) reads this lineage-free table."""
+    bounds, replay, reports) reads this lineage-free table.  ``key`` names the log
+    (and the alias map): a table already written for it is read again."""
     cm = commits(log)
     if alias is not None:
         cm = resolve_aliases(cm, alias)
-    return stage(compact_diffs(file_diffs(cm)), "diffs")
+    diffs = stage(compact_diffs(file_diffs(cm)), "diffs", key=key)
+    # A second pass only if some date could not be read.
+    if diffs.where(F.col("committed").isNull()).isEmpty():
+        return diffs.withColumn("date_missing", F.lit(False))
+    return stage(dated(diffs), "dated-diffs", key=key)
+
+
+def _replayed(diffs: DataFrame, key: tuple | None) -> tuple[DataFrame, DataFrame]:
+    """(replay rows, files), written once per ``key``."""
+    spark = diffs.sparkSession
+    if key is not None and (lines := staged_path(spark, "replay", key)) and (files := staged_path(spark, "replay-files", key)):
+        return spark.read.parquet(lines), spark.read.parquet(files)
+    diff_files, files = file_identity(diffs)
+    if key is not None:
+        files = stage(files, "replay-files", key=key)
+    return stage(replay_lines(hunks(diffs), diff_files), "replay", key=key), files
+
+
+def ingest_errors(diffs: DataFrame, key: tuple | None = None) -> DataFrame:
+    """What the ingest could not use, by kind: (kind, path, n).
+
+    ``replay`` lines a hunk removes or shows where the file has none (by file),
+    ``date`` diffs whose commit has no readable date, ``path`` diffs without a path.
+    """
+    rows, files = _replayed(diffs, key)
+    replay = rows.where(F.col("replay_errors").isNotNull()).join(files, "file_id")
+    replay = replay.groupBy("path", "file_id").agg(F.sum("replay_errors").cast("bigint").alias("n"))
+    path = F.when(F.col("kind") == KIND_DELETE, F.col("old_path")).otherwise(F.col("new_path"))
+    counted = [replay.select(F.lit("replay").alias("kind"), "path", "n")]
+    for kind, bad in (("date", F.col("date_missing")), ("path", path.isNull())):
+        some = diffs.where(bad).groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
+        counted.append(some.select(F.lit(kind).alias("kind"), "path", "n"))
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
 
 
 def line_lifecycle(
@@ -551,15 +654,19 @@ def line_lifecycle(
     alias: DataFrame | None = None,
     include_removed_files: bool = False,
     with_file_columns: bool = False,
+    key: tuple | None = None,
 ) -> DataFrame:
     """Commit log -> one row per code line ever written:
-    path, creator, remover, created, removed, lifespan (+ file_id, file_removed
-    with ``with_file_columns``).  Lines of deleted files are left out unless
-    ``include_removed_files``."""
-    diffs = parse_log(log, alias)
-    hk = hunks(diffs)
-    diff_files, files = file_identity(diffs)
-    lines = replay_lines(hk, diff_files).where(F.col("created").isNotNull())
+    path, creator, remover, created, removed, lifespan (+ file_id, file_removed,
+    is_removed and the file's replay_errors with ``with_file_columns``).  Lines of
+    deleted files are left out unless ``include_removed_files``.
+
+    The replay is written once and read by every report; with ``key`` (the state of
+    the log) it is shared by all calls of an application."""
+    diffs = parse_log(log, alias, key)
+    rows, files = _replayed(diffs, key)
+    errors = rows.where(F.col("replay_errors").isNotNull()).groupBy("file_id").agg(F.sum("replay_errors").cast("int").alias("replay_errors"))
+    lines = rows.where(F.col("replay_errors").isNull()).drop("replay_errors")
     last_day = history_bounds(diffs, files).select(
         (F.col("last_change") + F.expr("INTERVAL 1 DAY")).alias("last_day")
     ).scalar()
@@ -569,22 +676,6 @@ def line_lifecycle(
     out = out.withColumn("lifespan", lifespan_days("created", "removed", last_day))
     cols = ["path", "creator", "remover", "created", "removed", "lifespan"]
     if with_file_columns:
-        cols += ["file_id", "file_removed", "replay_errors"]
+        out = out.join(errors, "file_id", "left").withColumn("replay_errors", F.coalesce("replay_errors", F.lit(0)))
+        cols += ["file_id", "file_removed", "is_removed", "replay_errors"]
     return out.select(*cols)
-
-
-def ingest_tables(log: DataFrame, alias: DataFrame | None = None) -> dict[str, DataFrame]:
-    """All intermediate tables of the ingest, for inspection and reports."""
-    cm = commits(log)
-    if alias is not None:
-        cm = resolve_aliases(cm, alias)
-    diffs = compact_diffs(file_diffs(cm))
-    diff_files, files = file_identity(diffs)
-    return {
-        "commits": cm,
-        "diffs": diffs,
-        "hunks": hunks(diffs),
-        "diff_files": diff_files,
-        "files": files,
-        "bounds": history_bounds(diffs, files),
-    }

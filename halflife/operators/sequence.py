@@ -22,6 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from halflife.functions.scalars import clock_micros
+
+MICROS_PER_HOUR = 3_600_000_000
+
 _B = "__hl_bucket"
 _N = "__hl_near"
 _E = "__hl_edge"
@@ -68,26 +72,26 @@ def shift_in_buckets(
 
 
 def time_slices(df: DataFrame, ts: str, target_rows: int = 2_000_000) -> DataFrame:
-    """Add ``__hl_slice``: a time slice of ``ts`` sized so that the whole table
-    has about ``target_rows`` rows per slice (a scalar subquery over the table).
+    """Add ``__hl_slice``: a time slice of about ``target_rows`` rows, non-decreasing in ``ts``.
 
-    Any key then holds at most about ``target_rows`` rows per slice when its
-    rows spread over time like the table's; use as the ``bucket`` of
-    :func:`shift_in_buckets`.
+    Slices are cut by the rows of each hour: quiet hours share a slice, and an hour with
+    more rows than that is cut into equal parts, so a burst spreads over as many
+    slices as its rows ask for.  The table of hours is bounded by the calendar.
+    Use as the ``bucket`` of :func:`shift_in_buckets`.
     """
-    stats = df.agg(
-        F.min(ts).alias("__hl_t0"),
-        F.max(ts).alias("__hl_t1"),
-        F.count(F.lit(1)).alias("__hl_n"),
-    )
-    span = F.timestamp_diff("MICROSECOND", F.col("__hl_t0"), F.col("__hl_t1"))
-    width = F.greatest(
-        F.lit(1).cast("bigint"),
-        F.ceil(span.cast("double") * F.lit(float(target_rows)) / F.greatest(F.col("__hl_n"), F.lit(1))).cast("bigint"),
+    hour = (F.datediff(F.to_date(ts), F.lit("1970-01-01").cast("date")) * 24 + F.hour(ts)).cast("bigint")
+    in_hour = F.pmod(clock_micros(ts), F.lit(MICROS_PER_HOUR))
+    rows = df.withColumns({"__hl_hour": hour, "__hl_in": in_hour})
+    hours = rows.groupBy("__hl_hour").agg(F.count(F.lit(1)).alias("__hl_n"))
+    before = Window.orderBy("__hl_hour").rowsBetween(Window.unboundedPreceding, -1)
+    hours = hours.select(
+        F.col("__hl_hour").alias("__hl_h"),
+        F.floor(F.coalesce(F.sum("__hl_n").over(before), F.lit(0)) / target_rows).cast("bigint").alias("__hl_base"),
+        F.greatest(F.ceil(F.col("__hl_n") / target_rows), F.lit(1)).cast("bigint").alias("__hl_parts"),
     )
-    s = stats.select(F.struct(F.col("__hl_t0").alias("t0"), width.alias("width"))).scalar()
-    slice_ = F.floor(F.timestamp_diff("MICROSECOND", s.getField("t0"), F.col(ts)) / s.getField("width")).cast("bigint")
-    return df.withColumn("__hl_slice", slice_)
+    rows = rows.join(hours, F.col("__hl_hour").eqNullSafe(F.col("__hl_h")))
+    part = F.coalesce(F.floor(F.col("__hl_in") * F.col("__hl_parts") / MICROS_PER_HOUR), F.lit(0))
+    return rows.withColumn("__hl_slice", (F.col("__hl_base") + part).cast("bigint")).select(*df.columns, "__hl_slice")
 
 
 def fill_forward_in_buckets(

@@ -72,7 +72,7 @@ def active_people(df: DataFrame, corrected: bool = False) -> DataFrame:
         removers = df.select(F.col("remover").alias("person"), cohort_id(F.to_date("removed")).alias("week"))
         people = creators.unionByName(removers).where((F.col("week") != -1) & F.col("person").isNotNull())
     else:
-        people = creators.unionByName(creators)
+        people = creators  # the reference's second branch repeats the first; distinct counts do not change
     # Distinct (week, person) first: partial aggregation before the shuffle, and
     # a hot week only holds its distinct people.
     return (

@@ -40,11 +40,11 @@ def _nonzero(c):
 
 def author_decay(
     df: DataFrame,
-    path_like: str | None = "%.java",
+    path_like: str | None = None,
     exclude: Iterable[str] = (),
     as_of=None,
 ) -> DataFrame:
-    """P5: one conditional aggregate per creator (instead of five aggregates and
+    """P5 over all lines, or those whose path is LIKE ``path_like``: one conditional aggregate per creator (instead of five aggregates and
     four outer joins).  Counts absent in the reference's outer joins are null,
     not 0.  The live-line total is a scalar subquery, not a
     driver action.  ``as_of`` defaults to ``current_date()``."""

@@ -4,9 +4,10 @@ The reference loops days x files.  Here files are first aggregated by the day
 they start to count (their "effective day") and the per-day quantities that
 matter (age reference day, removal age), which leaves at most a few rows per
 calendar day; each group is then expanded over the days it counts on with
-``sequence`` + ``explode`` and summed per day.  Work is bounded by the
-calendar (days^2 at worst), not by the number of files, and no side of any join
-grows with the data except through that bound.
+``sequence`` + ``explode`` and summed per day.  The corrected mode expands each
+added day once and takes off, with a running sum along the days, what was removed
+by then.  Work is bounded by the calendar (days^2), not by the number of files, and
+no side of any join grows with the data except through that bound.
 
 Day ``D`` is stamped ``D 23:59:59``.  A file counts from the first stamp after
 its time: ``e = date(t + 1s)``.  Its age on ``D`` is ``(stamp - t).days + 1 =
@@ -19,6 +20,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from halflife.functions.scalars import day_string, whole_days
 
@@ -87,10 +89,17 @@ def file_population(files: DataFrame, bounds: DataFrame | None = None, corrected
 
     # -- existence: (e, k) groups expanded over the days they are counted on
     ex = f.where(F.col("has_add") & (F.col("live") if not corrected else F.lit(True)))
-    ex = ex.groupBy("e", "k", "er", "d0", "d_max") if corrected else ex.groupBy("e", "k", "d0", "d_max")
-    ex = ex.agg(F.count(F.lit(1)).alias("n"))
-    hi = F.col("d_max") if not corrected else F.least(F.col("d_max"), F.coalesce(F.date_sub("er", 1), F.col("d_max")))
-    ex = ex.select("k", "n", "d0", _span(F.greatest(F.col("e"), F.col("d0")), hi).alias("day"))
+    begin = F.greatest(F.col("e"), F.col("d0"))
+    n = ex.groupBy("e", "k", "d0", "d_max").agg(F.count(F.lit(1)).alias("n"))
+    n = n.select("e", "k", "n", "d0", _span(begin, F.col("d_max")).alias("day"))
+    if corrected:
+        # Per added day: what was removed up to each day, as a running sum along the days.
+        gone_at = F.greatest(F.col("er"), begin)
+        gone = ex.where(F.col("er").isNotNull()).groupBy("e", "k", gone_at.alias("day")).agg(F.count(F.lit(1)).alias("gone"))
+        so_far = Window.partitionBy("e", "k").orderBy("day").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        n = n.join(gone, ["e", "k", "day"], "left").withColumn("n", F.col("n") - F.coalesce(F.sum("gone").over(so_far), F.lit(0)))
+        n = n.where("n > 0")
+    ex = n.select("k", "n", "d0", "day")
     age = F.datediff("day", "k") + 1
     dc = F.datediff("day", "d0")
     eb = _bucket(age, dc)

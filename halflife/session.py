@@ -16,8 +16,6 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # S3/Q15: DROPMALFORMED must see every token of a row, whatever is projected.
-    "spark.sql.csv.parser.columnPruning.enabled": "false",
 }
 
 
@@ -54,12 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
                 "set it to shared storage (a machine-local folder does not survive executor loss)"
             )
         current = tempfile.mkdtemp(prefix="halflife-ckpt-", dir=os.environ.get("HALFLIFE_SCRATCH", "/tmp"))
+    elif not sc.master.startswith("local") and current.startswith("file:"):
+        if sc.getConf().get("spark.halflife.checkpoint.shared", "false") != "true":
+            raise ValueError(
+                f"spark.checkpoint.dir is {current}: a file: path is each machine's own unless it is a shared mount; "
+                "if it is one, say so with spark.halflife.checkpoint.shared=true"
+            )
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(current)
     return sc.getCheckpointDir() or current
 
 
 _STAGED: dict[tuple, str] = {}
+_UNKEYED: list[tuple[str, str, str]] = []
 
 
 def stage(df: DataFrame, name: str = "table", key: tuple | None = None) -> DataFrame:
@@ -77,16 +82,52 @@ def stage(df: DataFrame, name: str = "table", key: tuple | None = None) -> DataF
     import uuid
 
     spark = df.sparkSession
-    slot = (spark.sparkContext.applicationId, name, key) if key is not None else None
-    if slot in _STAGED and _exists(spark, _STAGED[slot]):
-        return spark.read.parquet(_STAGED[slot])
+    if key is not None and (path := staged_path(spark, name, key)):
+        return spark.read.parquet(path)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    if slot is not None:
-        _STAGED[slot] = path
+    if key is not None:
+        remember_staged(spark, name, key, path)
+    else:
+        _UNKEYED.append((spark.sparkContext.applicationId, name, path))
     return spark.read.parquet(path)
 
 
+def source_key(spark: SparkSession, *paths: str) -> tuple:
+    """What tells one state of input files from another: path, bytes, files, time of change.
+
+    Part of the key of every staged table, so that a table derived from files that
+    were replaced since is not read again.
+    """
+    conf, jvm = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm
+    out = []
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        fs = p.getFileSystem(conf)
+        total = fs.getContentSummary(p)
+        changed = [fs.getFileStatus(p).getModificationTime()]
+        if fs.getFileStatus(p).isDirectory():
+            changed += sorted(s.getModificationTime() for s in fs.listStatus(p))[-1:]
+        out.append((path, total.getLength(), total.getFileCount(), max(changed)))
+    return tuple(out)
+
+
+def release_staged(spark: SparkSession, name: str | None = None) -> int:
+    """Delete the tables this application staged (all, or those called ``name``); returns how many."""
+    app, jvm = spark.sparkContext.applicationId, spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    mine = {slot: path for slot, path in _STAGED.items() if slot[0] == app and name in (None, slot[1])}
+    loose = [x for x in _UNKEYED if x[0] == app and name in (None, x[1])]
+    for path in [*mine.values(), *(x[2] for x in loose)]:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+    for slot in mine:
+        del _STAGED[slot]
+    for x in loose:
+        _UNKEYED.remove(x)
+    return len(mine) + len(loose)
+
+
 def staged_path(spark: SparkSession, name: str, key: tuple) -> str | None:
     """Path of a table staged in this application under (name, key), if still there."""
     path = _STAGED.get((spark.sparkContext.applicationId, name, key))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from halflife.functions.scalars import lifespan_days, truncate_seconds
 from halflife.operators.sequence import shift_in_buckets, time_slices
-from halflife.session import stage
+from halflife.session import source_key, stage
 
 LIFECYCLE_COLUMNS = ["path", "creator", "remover", "created", "removed", "lifespan"]
 
@@ -25,6 +25,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+ORDER_TABLES = ("lineitem", "orders", "part")
+
+
+def tables_key(spark: SparkSession, sf_dir: str, names) -> tuple:
+    """State of the named tables' files."""
+    return source_key(spark, *[f"{sf_dir.rstrip('/')}/{n}.parquet" for n in names])
+
+
+def _staged(df: DataFrame, name: str, spark: SparkSession, sf_dir: str, tables, *more) -> DataFrame:
+    return stage(df, name, key=(tables_key(spark, sf_dir, tables), *more))
+
+
+def staged_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``orders_life_raw`` as the table that every order report reads."""
+    return _staged(orders_life_raw(spark, sf_dir), "orders_life", spark, sf_dir, ORDER_TABLES)
+
+
 def with_lifespan(df: DataFrame) -> DataFrame:
     """Lifespan against the history's last change + 1 day.
 
@@ -59,7 +76,7 @@ def orders_life_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def orders_life(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
     raw = orders_life_raw(spark, sf_dir)
-    return with_lifespan(stage(raw, "orders_life", key=(sf_dir,)) if staged else raw)
+    return with_lifespan(_staged(raw, "orders_life", spark, sf_dir, ORDER_TABLES) if staged else raw)
 
 
 def events_slots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,7 +112,7 @@ def events_life_raw(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_00
 
 def events_life(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_000, staged: bool = True) -> DataFrame:
     raw = events_life_raw(spark, sf_dir, slice_rows)
-    return with_lifespan(stage(raw, "events_life", key=(sf_dir, slice_rows)) if staged else raw)
+    return with_lifespan(_staged(raw, "events_life", spark, sf_dir, ("events",), slice_rows) if staged else raw)
 
 
 def parts_files(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFrame:
@@ -113,4 +130,4 @@ def parts_files(spark: SparkSession, sf_dir: str, staged: bool = True) -> DataFr
         "added",
         F.when(F.col("l_partkey") % 5 == 0, F.col("__last_ship")).alias("removed"),
     )
-    return stage(files, "parts_files", key=(sf_dir,)) if staged else files
+    return _staged(files, "parts_files", spark, sf_dir, ("lineitem", "orders")) if staged else files

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from halflife.functions.scalars import NONE_TEXT, clean_date, clean_int, whole_days
+from halflife.functions.scalars import NONE_TEXT, clean_date, clean_int, time_text, whole_days
 
 TEXT_SCHEMA = StructType(
     [StructField(n, StringType()) for n in ["path", "creator", "remover", "created", "removed", "lifespan"]]
@@ -28,19 +28,19 @@ TEXT_HEADER = ["Path", "Creator", "Remover", "Created", "Removed", "Lifespan"]
 def read_lifecycle_text(spark: SparkSession, path: str) -> DataFrame:
     """S3: all-string schema bound by position, header skipped, malformed rows dropped.
 
-    Column pruning in the CSV parser is disabled for the read, so DROPMALFORMED
+    Column pruning in the CSV parser is off for this read, so DROPMALFORMED
     judges whole rows whatever the query projects (Q15).
     """
-    spark.conf.set("spark.sql.csv.parser.columnPruning.enabled", "false")
-    return spark.read.csv(path, schema=TEXT_SCHEMA, header=True, mode="DROPMALFORMED")
+    reader = spark.read.option("columnPruning", "false")
+    return reader.csv(path, schema=TEXT_SCHEMA, header=True, mode="DROPMALFORMED")
 
 
 def format_time(c) -> F.Column:
     """Python ``str(datetime)``: seconds, plus six fraction digits only when non-zero."""
     c = F.col(c) if isinstance(c, str) else c
-    base = F.date_format(c, "yyyy-MM-dd HH:mm:ss")
-    frac = F.date_format(c, "SSSSSS")
-    return F.when(frac == "000000", base).otherwise(F.concat(base, F.lit("."), frac))
+    text = c.cast("string")  # drops trailing zeros of the fraction, and a zero fraction altogether
+    frac = F.rpad(F.substring(text, 21, 6), 6, "0")
+    return F.when(F.length(text) <= 19, text).otherwise(F.concat(time_text(c), F.lit("."), frac))
 
 
 def to_lifecycle_text(df: DataFrame, last_day_col: str | None = None) -> DataFrame:

@@ -7,9 +7,13 @@ non-decreasing in ``seq``); see :mod:`halflife.operators.ingest`.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import re
+from urllib.parse import unquote
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from halflife.functions.scalars import time_text
 from halflife.operators.sequence import shift_in_buckets, time_slices
 from halflife.sources.bindings import events_slots
 
@@ -21,24 +25,52 @@ EVENTS_EMAIL_DOMAIN = "example.org"
 def read_patch_log(spark: SparkSession, path: str) -> DataFrame:
     """One row per commit, split on ``\\ncommit `` by the text source.
 
-    Order key: (file path, split start, row id in split); a log is one file or
-    files whose names sort in log order.  The split is the bucket, so ordering
+    Order key: (file number, split start, row id in split), all numbers; a log is one
+    file, or files whose names are in log order, numbers in a name compared as
+    numbers (part-99999 before part-100000).  The split is the bucket, so ordering
     work downstream is bounded by the split size.
     """
     raw = spark.read.option("lineSep", COMMIT_SEP).text(path)
+    names = sorted((_file_name(f) for f in raw.inputFiles()), key=_natural)
+    if len(set(names)) != len(names):
+        raise ValueError("a patch log's files must have different names: they give the order")
     m = F.col("_metadata")
-    df = raw.select(
-        F.regexp_replace(F.col("value"), r"^commit ", "").alias("text"),
-        F.struct(
-            m.getField("file_path").alias("file"),
-            m.getField("file_block_start").alias("block"),
-            F.monotonically_increasing_id().alias("row"),
-        ).alias("seq"),
-        F.struct(m.getField("file_path").alias("file"), m.getField("file_block_start").alias("block")).alias(
-            "seq_bucket"
-        ),
+    rows = raw.select(
+        # A file's last record also holds the blank line that ends the others as part of the separator.
+        F.regexp_replace(F.regexp_replace(F.col("value"), r"^commit ", ""), r"\n+$", "\n").alias("text"),
+        m.getField("file_name").alias("name"),
+        m.getField("file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"),
+    ).where(F.length(F.trim(F.col("text"))) > 0)
+    if len(names) == 1:
+        rows = rows.withColumn("file", F.lit(0).cast("bigint"))
+    else:
+        numbers = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, file long")
+        rows = rows.join(numbers, "name")
+    return rows.select(
+        F.struct("file", "block", "row").alias("seq"), F.struct("file", "block").alias("seq_bucket"), "text"
     )
-    return df.where(F.length(F.trim(F.col("text"))) > 0).select("seq", "seq_bucket", "text")
+
+
+def _file_name(uri: str) -> str:
+    return unquote(uri.rstrip("/").rsplit("/", 1)[-1])
+
+
+def _natural(name: str) -> list:
+    """Sort key that compares the numbers in a name as numbers."""
+    return [(1, int(x), "") if x.isdigit() else (0, 0, x) for x in re.findall(r"\d+|\D+", name)]
+
+
+# English names of git's default date format.
+WEEKDAYS = ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]
+MONTHS = ["Jan", "Feb", "Mar", "Apr", "May", "Jun", "Jul", "Aug", "Sep", "Oct", "Nov", "Dec"]
+
+
+def log_date(ts: Column) -> Column:
+    """'Mon Jan 2 03:04:05 2006' as the value's own clock shows it."""
+    weekday = F.element_at(F.array(*[F.lit(x) for x in WEEKDAYS]), F.weekday(ts) + 1)
+    month = F.element_at(F.array(*[F.lit(x) for x in MONTHS]), F.month(ts))
+    return F.concat_ws(" ", weekday, month, F.dayofmonth(ts).cast("string"), F.substring(time_text(ts), 12, 8), F.year(ts).cast("string"))
 
 
 def write_patch_log(log: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -64,7 +96,7 @@ def render_events_log(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_
     header = F.concat(
         F.sha1(F.col("event_id").cast("string")),
         F.lit("\nAuthor: User "), uid, F.lit(" <u"), uid, F.lit(f"@{EVENTS_EMAIL_DOMAIN}>"),
-        F.lit("\nDate:   "), F.date_format("ts", "EEE MMM d HH:mm:ss yyyy"), F.lit(" +0000"),
+        F.lit("\nDate:   "), log_date(F.col("ts")), F.lit(" +0000"),
         F.lit("\n\n    event "), F.col("event_id").cast("string"), F.lit("\n"),
     )
     diff = F.concat(

@@ -38,7 +38,7 @@ def write_report(
         w.format(fmt).save(path)
 
 
-def write_author_roster(roster: DataFrame, path: str, single_file: bool = True) -> None:
+def write_author_roster(roster: DataFrame, path: str, single_file: bool = False) -> None:
     """The alias-map template, identity pairs ``email,email`` without header,
     ready to be edited and read back with ``read_alias_map``."""
     write_report(roster.select("alias_from", "alias_to"), path, order_by=["alias_from"],
