@@ -121,14 +121,15 @@ def mix_sources(
     block: int = 16,
     shard_docs: int = 2000,
     seed: int = 10,
+    carry: tuple[str, ...] = (),
 ) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken for every row of ``docs``.
+    """doc_id, size, source, source_size, target, taken (and ``carry``) for every row of ``docs``.
 
     ``docs`` needs doc_id, text and source.  ``taken`` counts the words the mix
     takes from the row, repeats included, and is at most ``max_repeat * size``.
     """
     # Written once: three narrow columns, so that the texts are read a single time.
-    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")), "mix-sizes")
+    sized = stage(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), *carry), "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = source_targets(per_source, weights, budget, max_repeat)
     seats = F.round(F.sum("target").over(Window.partitionBy()) / block).cast("bigint")
@@ -177,7 +178,21 @@ def mix_sources(
         stop > F.col("n_blocks"), overlap(F.lit(0).cast("bigint"), stop - F.col("n_blocks"))
     ).otherwise(F.lit(0))
     taken = F.col("full") * F.col("size") + F.when(F.col("rest") > 0, extra).otherwise(F.lit(0))
-    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("bigint").alias("taken"))
+    return placed.select("doc_id", "size", "source", "source_size", "target", taken.cast("bigint").alias("taken"), *carry)
+
+
+def apply_mix(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: each row as often as the mix takes it, rounded to whole texts (0, 1, 2, ...).
+
+    Only the document at either end of a shard's selection is taken in part, so
+    rounding moves each shard by less than two documents.
+    """
+    named = docs.withColumn("__th", F.xxhash64("text"))
+    mix = mix_sources(named, carry=("__th",), **options).where("taken > 0")
+    times = mix.groupBy("doc_id", "__th").agg(F.round(F.sum("taken") / F.sum("size")).cast("int").alias("__n")).where("__n > 0")
+    times = times.select(F.col("doc_id").alias("__id"), F.col("__th").alias("__key"), "__n")
+    out = named.join(times, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__th") == F.col("__key")))
+    return out.withColumn("__turn", F.explode(F.sequence(F.lit(1), F.col("__n")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -202,6 +202,17 @@ def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int =
     return out.select("doc_id", "th", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """One document of each group: ``docs`` without rows whose component has a smaller id.
+
+    Rows equal in id and text are copies of each other; one of them stays.
+    """
+    found = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    named = docs.withColumn("__key", F.xxhash64("text"))
+    kept = named.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th")
 

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import importlib
 
+import corpus_pipeline
+
 # Query name -> module of this package; each has query(spark, sf_dir) and, where SQL can say it, ORACLE.
 MODULES = {
     "op1_passages": "op1_passages",
+    "op2_lines": "op2_lines",
+    "op3_lm": "op3_lm",
     "op4_topk": "op4_topk",
     "op5_quality": "op5_quality",
     "op6_suffixes": "op6_suffixes",
@@ -22,7 +26,7 @@ def _module(name: str):
 
 
 def queries() -> dict:
-    return {name: _module(name).query for name in MODULES}
+    return {name: _module(name).query for name in MODULES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict:
