@@ -54,6 +54,7 @@ from pyspark.sql import functions as F
 
 from halflife.llm import exchange as X
 from halflife.llm import text as T
+from halflife.llm.parcels import opened, parcelled
 
 KEPT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
 ANCHORS, FLAGS, KNOWN = 0, 1, 2  # kinds of blobs that a chunk receives
@@ -206,7 +207,7 @@ def _bucket(hashes: np.ndarray, n_buckets: int) -> np.ndarray:
 def _count_anchors(length: int, gram: int, n_buckets: int):
     def run(key, table):
         chunk = key[0].as_py()
-        b = _Bytes(X.in_order(table))
+        b = _Bytes(opened(table))
         place, first, last, hashes = find_anchors(b.data, b.offsets, length, gram)
         if not len(place):
             return X.mail([])
@@ -251,7 +252,7 @@ def _send_runs(length: int, n_buckets: int):
     def run(key, table, answers):
         if table.num_rows == 0 or answers.num_rows == 0:
             return X.mail([])
-        chunk, data = key[0].as_py(), _Bytes(X.in_order(table)).data.tobytes()
+        chunk, data = key[0].as_py(), _Bytes(opened(table)).data.tobytes()
         codes = {}
         for kind, *rest in X.blobs(answers):
             if np.frombuffer(kind, dtype=np.int64)[0] == ANCHORS:
@@ -395,13 +396,12 @@ def _merge_bucket(length: int):
 
 def _finish(length: int):
     def run(key, table, answers):
-        table = X.in_order(table)
+        table = opened(table)
         b = _Bytes(table)
-        gone = np.zeros(len(b.data), dtype=bool)
-        for kind, *rest in X.blobs(answers):
-            start, n = (np.frombuffer(x, dtype=np.int32).astype(np.int64) for x in rest)
-            if len(start):
-                gone |= T.cover(len(b.data), start, start + n - 1 + length)
+        known = [[np.frombuffer(x, dtype=np.int32) for x in rest] for _, *rest in X.blobs(answers)]
+        start = np.concatenate([x[0] for x in known] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        n = np.concatenate([x[1] for x in known] or [np.zeros(0, dtype=np.int64)])
+        gone = T.cover(len(b.data), start, start + n - 1 + length)
         opens = gone.copy()
         opens[1:] &= ~gone[:-1]
         inner = b.offsets[1:-1]
@@ -427,7 +427,7 @@ def remove_repeated_strings(
     """doc_id, n_bytes, n_removed, n_spans and kept (bytes) of every row of ``docs`` (doc_id, text)."""
     total = X.text_bytes(docs)
     n_buckets = max(1, math.ceil(total / bucket_bytes))
-    parts = X.chunked(docs, total, chunk_bytes)
+    parts = parcelled(docs, total, chunk_bytes)
 
     def answered(sent: DataFrame, serve) -> DataFrame:
         return sent.groupBy("key").applyInArrow(serve, X.MAIL).select((-1 - F.col("key")).alias("chunk"), "blob")

@@ -204,9 +204,7 @@ def group_windows(ids: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray,
 
 def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Mask of length n: True inside any [start, end)."""
-    depth = np.zeros(n + 1, dtype=np.int32)
-    np.add.at(depth, starts, 1)
-    np.add.at(depth, ends, -1)
+    depth = np.bincount(starts, minlength=n + 1) - np.bincount(ends, minlength=n + 1)
     return np.cumsum(depth[:-1]) > 0
 
 
