@@ -79,7 +79,8 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, budget=BUDGET, max_repeat=
         }
     )
     level = F.when((F.col("total") - F.col("used")) / F.col("free") < F.col("cap") / F.col("w"), (F.col("total") - F.col("used")) / F.col("free"))
-    s = s.withColumn("level", F.min(level).over(everything))
+    # The first source that does not fill sets the level; later rows take off caps that do not fill.
+    s = s.withColumn("level", F.max(level).over(everything))
     target = F.least(F.col("cap"), F.coalesce(F.col("level") * F.col("w"), F.col("cap")))
     return s.select(*sizes.columns, "source_no", target.alias("target"))
 
@@ -215,7 +216,7 @@ s3 AS (
     (SELECT sum(w) FROM s2) - coalesce(sum(w) OVER (ORDER BY cap / w, source_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS free
   FROM s2
 ),
-lv AS (SELECT min((total - used) / free) AS level FROM s3 WHERE (total - used) / free < cap / w),
+lv AS (SELECT max((total - used) / free) AS level FROM s3 WHERE (total - used) / free < cap / w),
 s AS (SELECT s3.source, source_no, source_size, n_docs, least(cap, coalesce(level * w, cap)) AS target FROM s3, lv),
 m AS (SELECT round(sum(target) / 16)::BIGINT AS seats FROM s),
 q AS (
