@@ -27,9 +27,9 @@ class is one row per band (16 bytes).  Bucket centres are minima, combined befor
 shuffle, and handed out by a join that Spark splits when skewed.  Texts move
 once, for classes that share a bucket, and per proposed edge once more.
 
-Edge cases: null text is the empty text.  Rows with a null id are linked through
-their class like others; if no id is known in a component, component_id is null and
-the row is kept.  Repeated rows are in one class; rows of one id with different
+Edge cases: null text is the empty text.  Rows with a null id are linked like others
+(under a number of their text's hash, above all ids); if no id is known in a
+component, component_id is null and the row is kept.  Repeated rows are in one class; rows of one id with different
 texts are judged row by row.  An empty table gives an empty result.  Other columns
 are not read.
 """
@@ -45,6 +45,7 @@ from halflife.llm import text as T
 from halflife.llm.components import connected_components
 from halflife.session import stage
 
+NAMELESS = 1 << 62  # rows without an id are numbered from here on
 SIGNATURE = "doc_id long, th long, n_shingles long, k1 long, k2 long, bands array<long>"
 
 
@@ -148,11 +149,13 @@ def _confirm(size: int, percent: int):
 
 def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
-    read = docs.select("doc_id", "text", F.xxhash64("text").alias("th"))
+    th = F.xxhash64("text")
+    node = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NAMELESS) + F.pmod(th, F.lit(NAMELESS // 2)))
+    read = docs.select(node.alias("doc_id"), "text", th.alias("th"))
     signed = stage(read.mapInArrow(_signatures(bands, rows, size), SIGNATURE), "near-signatures")
     key = ["k1", "k2", "n_shingles"]
     classes = (
-        signed.where(F.col("doc_id").isNotNull() & (F.col("n_shingles") > 0))
+        signed.where("n_shingles > 0")
         .groupBy(*key)
         .agg(F.min(F.struct("doc_id", "th")).alias("r"), F.any_value("bands").alias("bands"))
         .select(*key, F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "bands")
@@ -199,7 +202,9 @@ def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int =
         of_class = of_class.withColumnRenamed("rep", "component")
     out = signed.drop("bands").join(of_class, key, "left")
     component_id = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "th", "n_shingles", component_id.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    known = lambda c: F.when(c < NAMELESS, c)
+    out = out.select(known(F.col("doc_id")).alias("doc_id"), "th", "n_shingles", known(component_id).alias("component_id"))
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
