@@ -3,8 +3,11 @@
 Words become symbols, symbols become clause readings, readings become a score:
 
 1. *Lexicon transducer.*  Word beginnings (and whole words) that mark toxic
-   documents, each with a log-odds weight learnt from labelled rows; threats,
-   targets, negations and reporting verbs are small fixed word lists.
+   documents, each with the lower bound of its log-odds learnt from labelled rows.
+   A word is read by its longest entry; a beginning whose toxic documents are
+   nearly all those of one longer entry gives way to that one; longer
+   beginnings that clean documents use are entries of weight 0.  Threats, targets,
+   negations and reporting verbs are small fixed word lists.
 2. *Scope transducer.*  Reads a clause left to right and keeps, as its state, how
    many words a negation still reaches, whether the words are reported speech, and
    whether a target was named.  Each insult or threat leaves it as one of the
@@ -46,6 +49,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
+from halflife.session import stage
+
 # Small fixed word lists, four languages in a row: English, German, French, Spanish.
 THREATS = frozenset(
     "kill hurt destroy burn beat attack murder shoot punish töten umbringen schlagen verletzen vernichten "
@@ -94,7 +99,7 @@ class Grammar:
 
         if self._finder is None:
             found = ahocorasick.Automaton()
-            for term in {*self.lexicon, *(w + "$" for w in self.threats)}:
+            for term in {*(t for t, w in self.lexicon.items() if w > 0), *(w + "$" for w, x in self.threats.items() if x > 0)}:
                 found.add_word(term.rstrip("$"), len(term.rstrip("$")))
             if len(found):
                 found.make_automaton()
@@ -102,7 +107,11 @@ class Grammar:
         return self._finder
 
     def insult(self, word: str) -> float:
-        return max((self.lexicon.get(t, 0.0) for t in terms_of(word)), default=0.0)
+        """Weight of the word's longest entry."""
+        weight = 0.0
+        for term in terms_of(word):
+            weight = self.lexicon.get(term, weight)
+        return weight
 
     def clauses(self, text: str) -> list[str]:
         """The clauses in which some entry begins a word."""
@@ -206,6 +215,22 @@ def _count_terms(batches):
         yield flush()
 
 
+def beginnings(term: str) -> list[str]:
+    """The shorter terms that a word of this term also has."""
+    word = term.rstrip("$")
+    return [word[:n] for n in PREFIXES if n < len(word) or (n == len(word) and term != word)]
+
+
+def most_specific(seen: dict[str, tuple[int, int]], share: float = 0.85) -> set[str]:
+    """Terms without those that owe ``share`` of their toxic documents to a longer term, no less clean."""
+    keep = set(seen)
+    for term, (pos, neg) in seen.items():
+        for short in beginnings(term):
+            if short in seen and pos >= share * seen[short][0] and neg <= seen[short][1]:
+                keep.discard(short)
+    return keep
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 0.05, steps: int = 60) -> np.ndarray:
     """Newton steps for a ridge logistic model; the last weight is the bias.
 
@@ -233,6 +258,7 @@ def learn(
     max_terms: int = 5000,
     least_weight: float = 2.0,
     least_near: int = 3,
+    least_share: float = 0.01,
 ) -> Grammar:
     """Fit the grammar on labelled documents (the caller chooses which labels may teach)."""
     # At most max_toxic + max_clean rows of (long, int): a proven bound for the broadcast.
@@ -247,14 +273,27 @@ def learn(
     if not n_pos or not n_neg:
         rate = 0.5 if not n_pos and not n_neg else 0.999 if n_pos else 0.001
         return Grammar({}, {}, [0.0] * (len(READINGS) + 2), math.log(rate / (1 - rate)))
+    counts = stage(counts, "toxic-terms")
     weight = F.log((F.col("pos") + 0.5) / (n_pos + 1.0)) - F.log((F.col("neg") + 0.5) / (n_neg + 1.0))
+    weight = weight - 1.64 * F.sqrt(1 / (F.col("pos") + 0.5) + 1 / (F.col("neg") + 0.5))
+    least_pos = max(3, math.ceil(n_pos * least_share))
     best = (
         counts.withColumn("weight", weight)
-        .where((F.col("weight") >= least_weight) & (F.col("near") >= least_near))
+        .where((F.col("weight") >= least_weight) & (F.col("pos") >= least_pos))
+        .where(F.col("near") >= F.greatest(F.lit(least_near), F.least(F.lit(20), F.col("pos") / 3)))
         .orderBy((F.col("weight") * F.log1p("pos")).desc(), "term")
         .limit(max_terms)
+        .collect()
     )
-    lexicon = {r["term"]: float(r["weight"]) for r in best.select("term", "weight").collect()}
+    chosen = most_specific({r["term"]: (r["pos"], r["neg"]) for r in best})
+    lexicon = {r["term"]: float(r["weight"]) for r in best if r["term"] in chosen}
+    # Longer beginnings of the same words that are no sign of toxicity: entries of weight 0.
+    heads = F.array(*[F.substring("word", 1, n) for n in PREFIXES])
+    longer = counts.where(F.col("neg") > 0).withColumn("word", F.regexp_replace("term", r"\$$", ""))
+    longer = longer.where(F.arrays_overlap(heads, F.array(*[F.lit(t) for t in sorted(chosen)]))) if chosen else longer.limit(0)
+    for r in longer.orderBy(F.col("neg").desc(), "term").limit(max_terms).select("term").collect():
+        if r["term"] not in lexicon and any(h in lexicon for h in beginnings(r["term"])):
+            lexicon[r["term"]] = 0.0
     known = counts.where(F.col("term").isin([w + "$" for w in sorted(THREATS)])).select("term", weight.alias("weight"), (F.col("pos") + F.col("neg")).alias("n"))
     measured = {r["term"][:-1]: float(r["weight"]) for r in known.collect() if r["n"] >= 5}
     threats = {w: max(0.0, measured.get(w, least_weight)) for w in THREATS}
