@@ -12,5 +12,5 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 def spark():
     from halflife.session import local_session
 
-    s = local_session("*", 8)
+    s = local_session(os.environ.get("TEST_CPUS", "*"), 8)
     yield s
