@@ -48,13 +48,13 @@ def test_active_people(spark):
 
 
 def test_author_decay(spark):
-    got = rows(P.author_decay(lifecycle(spark), as_of="2018-11-01"))
+    got = rows(P.author_decay(lifecycle(spark), path_like="%.java", as_of="2018-11-01"))
     assert got == [
         ("ann", 4, 2, D(2018, 9, 10), D(2018, 10, 1), 9.0, 1, 2, 52, 21, 31, 0.5, 0.25, 0.5),
         ("bob", 2, 1, D(2018, 9, 12), D(2018, 9, 12), 10.5, 1, 1, 50, 0, 50, 0.5, 0.5, 0.25),
         ("cat", 2, 1, D(2018, 9, 17), D(2018, 9, 17), 12.0, None, 1, 45, 0, 45, 0.5, None, 0.25),
     ]
-    excluded = rows(P.author_decay(lifecycle(spark), exclude=["bob"], as_of="2018-11-01"))
+    excluded = rows(P.author_decay(lifecycle(spark), path_like="%.java", exclude=["bob"], as_of="2018-11-01"))
     assert [r[0] for r in excluded] == ["ann", "cat"] and excluded[0][-1] == round(2 / 3, 6)
 
 
