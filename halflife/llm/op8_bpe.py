@@ -44,16 +44,20 @@ def split_pattern(pattern: str) -> str:
     return pattern.replace(r"[^\s", "[^" + _SPACE).replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
 
 
+_NONE = 1 << 62
+
+
 class TreeBpe:
     """Encoder and decoder for one table of ranks (token bytes -> id)."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, cache: int = 400_000):
         import regex
 
         self.ranks = ranks
         self.tokens = {i: t for t, i in ranks.items()}
         self.pieces = regex.compile(split_pattern(pattern)).findall
         self.fits: dict[tuple[int, int], bool] = {}
+        self.halves: dict[bytes, list[int]] = {}
         self.packed = _Packed(self, cache)
 
     # ---- joins
@@ -61,8 +65,16 @@ class TreeBpe:
     def merge(self, data: bytes) -> list[int]:
         """Plain BPE of a short window: always the lowest-ranked neighbouring pair, leftmost first."""
         ranks, n = self.ranks, len(data)
-        if n == 1:
-            return [ranks[data]]
+        if n <= 16:  # few parts: look at all pairs each time
+            parts = [data[i : i + 1] for i in range(n)]
+            while len(parts) > 1:
+                found = [ranks.get(a + b, _NONE) for a, b in zip(parts, parts[1:])]
+                least = min(found)
+                if least == _NONE:
+                    break
+                i = found.index(least)
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            return [ranks[x] for x in parts]
         end = list(range(1, n + 1))  # end[i]: where the part that begins at i ends
         before = list(range(-1, n - 1))
         alive = [True] * n
@@ -113,8 +125,15 @@ class TreeBpe:
     def tree(self, data: bytes) -> list[int]:
         if len(data) == 1:
             return [self.ranks[data]]
-        half = len(data) // 2
-        return self.join(self.tree(data[:half]), self.tree(data[half:]))
+        known = self.halves.get(data)
+        if known is None:
+            half = len(data) // 2
+            known = self.join(self.tree(data[:half]), self.tree(data[half:]))
+            if len(data) <= 8:  # short halves come back in many words
+                if len(self.halves) > 300_000:
+                    self.halves.clear()
+                self.halves[data] = known
+        return known
 
     # ---- texts
 
