@@ -16,6 +16,7 @@ exchanges are equal and Spark reuses them.
 
 from __future__ import annotations
 
+import gc
 import math
 
 import numpy as np
@@ -102,6 +103,16 @@ def split_by(keys: np.ndarray) -> list[tuple[int, np.ndarray]]:
     return [(int(keys[part[0]]), part) for part in np.split(order, cuts)]
 
 
+def freed(spark) -> None:
+    """Let Spark's cleaner drop the shuffles of frames that a written table has replaced.
+
+    It drops them when the driver's garbage is collected; waiting for that to happen by
+    itself would keep every round's shuffle on disk at once.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def hot_buckets(counts: DataFrame, n_buckets: int, factor: float = 8.0, least: int = 50_000) -> set[int]:
     """Buckets holding over ``factor`` times the mean, from (key, n) partial counts.
 
