@@ -208,8 +208,10 @@ def _send_variants(n_buckets: int, least_words: int, near_words: int):
         owner = np.concatenate([mine, line, line])
         rows = []
         for to, rank in X.split_by(_of(keys, n_buckets)):
-            who = owner[rank]
-            rows.append((to, X.pack(np.array([chunk]), keys[rank], role[rank], c.ids[c.doc[who]], c.number[who].astype(np.int32), who.astype(np.int32))))
+            # Lines once, keys by steps through them (mostly 0 and 1).
+            who, place = np.unique(owner[rank], return_inverse=True)
+            steps = np.diff(place, prepend=0).astype(np.int32)
+            rows.append((to, X.pack(np.array([chunk]), keys[rank], role[rank], steps, c.ids[c.doc[who]], c.number[who].astype(np.int32), who.astype(np.int32))))
         n, m = len(rows), len(mine)
         return pa.table(
             [
@@ -231,13 +233,14 @@ PAIRS = "chunk long, line long, w_chunk long, w_line long"
 def _witnesses(key, table):
     """For every line the earliest line that shares a key and is at distance 1."""
     chunk, keys, role, doc, number, line = [], [], [], [], [], []
-    for c, k, r, d, n, x in X.blobs(table):
+    for c, k, r, steps, d, n, x in X.blobs(table):
+        place = np.cumsum(np.frombuffer(steps, dtype=np.int32))
         keys.append(np.frombuffer(k, dtype=np.uint64))
         chunk.append(np.repeat(np.frombuffer(c, dtype=np.int64), len(keys[-1])))
         role.append(np.frombuffer(r, dtype=np.uint8))
-        doc.append(np.frombuffer(d, dtype=np.int64))
-        number.append(np.frombuffer(n, dtype=np.int32).astype(np.int64))
-        line.append(np.frombuffer(x, dtype=np.int32).astype(np.int64))
+        doc.append(np.frombuffer(d, dtype=np.int64)[place])
+        number.append(np.frombuffer(n, dtype=np.int32).astype(np.int64)[place])
+        line.append(np.frombuffer(x, dtype=np.int32).astype(np.int64)[place])
     chunk, keys, role, doc, number, line = map(np.concatenate, (chunk, keys, role, doc, number, line))
     found = []
     # A line against its shorter neighbours' longer forms: SELF meets SHORTER, both ways.  CHANGED meets CHANGED.
@@ -333,9 +336,12 @@ def repeated_lines(
     parts = parcelled(docs, total, chunk_bytes)
     sent = parts.groupBy("chunk").applyInArrow(_send_digests(n_buckets, least_words, near_words), X.MAIL)
     answers = stage(sent.groupBy("key").applyInArrow(_answer_digests, X.MAIL), "line-copies")
+    del sent
+    X.freed(docs.sparkSession)
     to_chunk = answers.select((-1 - F.col("key")).alias("chunk"), "blob")
     variants = parts.groupBy("chunk").cogroup(to_chunk.groupBy("chunk")).applyInArrow(_send_variants(n_buckets, least_words, near_words), VARIANTS)
     variants = stage(variants, "line-variants")
+    X.freed(docs.sparkSession)
     pairs = variants.where("key is not null").select("key", "blob").groupBy("key").applyInArrow(_witnesses, PAIRS).distinct()
     texts = variants.where("key is null").select("chunk", "line", "words")
     of_witness = texts.select(F.col("chunk").alias("w_chunk"), F.col("line").alias("w_line"), F.col("words").alias("w_words"))
