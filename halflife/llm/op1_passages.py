@@ -42,6 +42,7 @@ from pyspark.sql import functions as F
 
 from halflife.llm import exchange as X
 from halflife.llm import text as T
+from halflife.llm.parcels import opened, parcelled
 
 KEPT = "doc_id long, n_words long, n_removed long, kept_text string"
 
@@ -106,7 +107,7 @@ def slices(batch, limit: int):
 
 def _emit(k: int, m: int, n_buckets: int, hot: np.ndarray):
     def run(key, table):
-        chunk, table = key[0].as_py(), X.in_order(table)
+        chunk, table = key[0].as_py(), opened(table)
         c, ids = _Chunk(table, k), X.ids_of(table)
         if not len(c.at):
             return X.mail([])
@@ -187,12 +188,12 @@ def _serve(k: int):
 
 def _finish(k: int):
     def run(key, table, answers):
-        table = X.in_order(table)
+        table = opened(table)
         c = _Chunk(table, k)
-        gone = np.zeros(len(c.starts), dtype=bool)
-        for start, length in X.blobs(answers):
-            start = np.frombuffer(start, dtype=np.int32)
-            gone |= T.cover(len(c.starts), start, start + np.frombuffer(length, dtype=np.int32) + k - 1) if len(start) else False
+        known = [[np.frombuffer(x, dtype=np.int32) for x in blob] for blob in X.blobs(answers)]
+        start = np.concatenate([x[0] for x in known] or [np.zeros(0, dtype=np.int64)]).astype(np.int64)
+        length = np.concatenate([x[1] for x in known] or [np.zeros(0, dtype=np.int64)])
+        gone = T.cover(len(c.starts), start, start + length + k - 1)
         n_words = np.diff(c.first)
         n_removed = np.diff(np.concatenate([[0], np.cumsum(gone)])[c.first])
         kept = ~gone
@@ -214,7 +215,7 @@ def remove_repeated_passages(docs: DataFrame, k: int = 13, m: int = 3, bucket_by
     total = X.text_bytes(docs)
     n_buckets = max(1, math.ceil(total / bucket_bytes))
     hot = np.array(sorted(X.hot_buckets(_count_windows(docs, k, m, n_buckets), n_buckets)), dtype=np.int64)
-    parts = X.chunked(docs, total, chunk_bytes)
+    parts = parcelled(docs, total, chunk_bytes)
     sent = parts.groupBy("chunk").applyInArrow(_emit(k, m, n_buckets, hot), X.MAIL)
     answers = sent.groupBy("key").applyInArrow(_serve(k), X.MAIL).select((-1 - F.col("key")).alias("chunk"), "blob")
     return parts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_finish(k), KEPT)

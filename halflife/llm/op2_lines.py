@@ -326,7 +326,7 @@ def _finish(n_buckets: int, least_words: int):
 
 
 def repeated_lines(
-    docs: DataFrame, least_words: int = 3, near_words: int = 8, bucket_bytes: int = 8 << 20, chunk_bytes: int = X.CHUNK_BYTES
+    docs: DataFrame, least_words: int = 3, near_words: int = 8, bucket_bytes: int = 8 << 20, chunk_bytes: int = 3 << 20
 ) -> DataFrame:
     """doc_id, th (xxhash64 of the text), n_lines, n_words (kept ones), n_removed, kept_text of every row of ``docs``."""
     if near_words < 2 * EDGE:

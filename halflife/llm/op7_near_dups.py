@@ -96,8 +96,9 @@ def _signatures(bands: int, rows: int, size: int):
         dense = Densifier(bands * rows)
         number = np.arange(bands, dtype=np.uint64)
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            T.trim()
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 data, offsets = T.flat(part.column("text"))
                 starts, ends, first = T.word_spans(data, offsets)
                 h = T.word_hashes(data, starts, ends, lower=True)

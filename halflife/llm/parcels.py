@@ -23,7 +23,7 @@ from halflife.llm import text as T
 PARCELS = "chunk long, parcel binary"
 
 
-def parcelled(docs: DataFrame, total: int, chunk_bytes: int = X.CHUNK_BYTES, hold_bytes: int = 24 << 20) -> DataFrame:
+def parcelled(docs: DataFrame, total: int, chunk_bytes: int = X.CHUNK_BYTES, hold_bytes: int = 8 << 20) -> DataFrame:
     """(chunk, parcel): the columns doc_id and text of ``docs``, about ``chunk_bytes`` of text a chunk."""
     n = max(1, math.ceil(total / chunk_bytes))
 
@@ -45,6 +45,7 @@ def parcelled(docs: DataFrame, total: int, chunk_bytes: int = X.CHUNK_BYTES, hol
                 if size > hold_bytes:
                     yield wrap(held)
                     held, size = {}, 0
+                    T.trim()
         if held:
             yield wrap(held)
 
@@ -66,6 +67,7 @@ def _close(table: pa.Table) -> bytes:
 
 def opened(table: pa.Table) -> pa.Table:
     """(doc_id, text as bytes) of a chunk's parcels, in one fixed order."""
+    T.trim()  # what the chunk before needed
     parts = []
     for ids, no_id, no_text, sizes, data in (X.unpack(b) for b in table.column("parcel").to_pylist()):
         mask = np.frombuffer(no_id, dtype=np.uint8) > 0

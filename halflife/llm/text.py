@@ -6,6 +6,8 @@ single bytes that occur nowhere else, so words are cut on bytes.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -17,6 +19,16 @@ SPACE[[32, 9, 10, 11, 12, 13]] = True
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
+
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and the next stage needs it elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
