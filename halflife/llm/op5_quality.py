@@ -149,10 +149,14 @@ RULES = BASE_RULES + (
 def plan_order(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[str]:
     """Rule names in cascade order, from at most ``sample_rows`` sampled documents.
 
-    The sample is the rows with the smallest hash of their text: a bounded,
-    repeatable choice that only this estimate sees.
+    The sample is the rows with the smallest hash of their id: a bounded,
+    repeatable choice that only this estimate sees.  The hashes alone are ranked;
+    texts are filtered by the last hash taken and never sorted.
     """
-    sample = docs.select("text").orderBy(F.xxhash64("text"), F.length("text")).limit(sample_rows)
+    key = F.xxhash64("doc_id", F.lit(5))
+    lowest = docs.select(key.alias("key")).orderBy("key").limit(sample_rows).collect()
+    last = lowest[-1]["key"] if lowest else 0
+    sample = docs.where(key <= last).select("text").limit(sample_rows)
     uses = {u for r in rules for u in r.uses}
     sample = sample.select(F.length(_text()).alias("__chars"), *[FEATURES[u][0]().alias(u) for u in sorted(uses)])
     f = {u: F.col(u) for u in uses}
