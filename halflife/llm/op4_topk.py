@@ -12,7 +12,8 @@ Vectors are compared as integers floor(scale * x).  Method:
    has a local cosine threshold t = bound / (|q| * longest in the bucket).  Above 1 the
    bucket is skipped.  From ``coordinate_at`` on, coordinate pruning looks at the
    query's largest coordinates: a unit vector with cosine >= t can only lie between
-   q_f t -+ sqrt((1 - t^2)(1 - q_f^2)) there.  Below, length pruning takes the bucket's
+   q_f t -+ sqrt((1 - t^2)(1 - q_f^2)) there; the upper bound holds for q_f < t only,
+   the lower one for q_f > -t only.  Below, length pruning takes the bucket's
    prefix of vectors long enough to reach the bound.
 4. *Verification.*  The products of what is left are computed exactly; each meeting
    returns its best k, and the final ranking takes the best k over all buckets.
@@ -152,7 +153,8 @@ def meet(query, bucket, k: int, coordinate_at: float, focus: int):
                 continue
             reach = math.sqrt(max(0.0, (1 - t * t) * (1 - qi[f] ** 2))) + SLACK
             x = unit[rows, f]
-            rows = rows[(x >= qi[f] * t - reach) & ((x <= qi[f] * t + reach) | (qi[f] * qi[f] >= t * t))]
+            # Where the cone around the query holds the axis (or its opposite) it has no bound on that side.
+            rows = rows[((x >= qi[f] * t - reach) | (qi[f] <= -t)) & ((x <= qi[f] * t + reach) | (qi[f] >= t))]
         yield result(i, rows, _products(q[i : i + 1], p[rows])[0] if len(rows) else np.zeros(0, dtype=np.int64))
 
 

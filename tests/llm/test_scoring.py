@@ -111,6 +111,27 @@ def test_top_k(spark, options):
     assert got == brute_top_k([v[:2] for v in vectors], 5, 20)
 
 
+@pytest.mark.parametrize("options", [{}, {"bucket_rows": 16, "block_rows": 4}])
+def test_top_k_with_one_dominant_coordinate(spark, options):
+    rng = random.Random(12)
+    vectors = []
+    for i in range(400):  # of about one length, so that thresholds are high
+        turn = rng.uniform(-0.5, 0.5)
+        v = [rng.choice([-1, 1]) * math.cos(turn), math.sin(turn)]
+        vectors.append((i, v[:: rng.choice([-1, 1])]))
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in op4_topk.top_k(df, k=5, every=4, **options).collect()}
+    assert got == brute_top_k(vectors, 5, 4)
+
+
+def test_coordinate_pruning_keeps_neighbours_across_the_axis():
+    for sign in (-1, 1):
+        q, p = np.array([[sign * 58, 27]]), np.array([[sign * 63, 15]])
+        query = (np.array([0]), np.linalg.norm(q, axis=1), q, [np.array([0.7 * np.linalg.norm(q) * np.linalg.norm(p)])])
+        (found,) = op4_topk.meet(query, (np.array([1]), np.linalg.norm(p, axis=1), p, []), 1, 0.7, 4)
+        assert found[1].tolist() == [1] and found[2].tolist() == [58 * 63 + 27 * 15]
+
+
 def test_top_k_of_nothing(spark):
     assert op4_topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
