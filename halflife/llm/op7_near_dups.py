@@ -16,10 +16,15 @@
    edges to the members of other components, round by round, until a round (past
    the third) confirms nothing new.  Buckets that are one component propose
    nothing, so the work shrinks with every round.
-5. *Components* of the confirmed links (alternating stars); the smallest id stays.
-
-What can be lost: a pair that shares no band (above), and a pair whose buckets never
-had one of the two as a centre while neither was linked to the other's component.
+5. *Exact finish.*  Buckets of three or more that are still in several components hold
+   pairs that no centre has tested.  Their members order their shingles by rarity
+   among themselves; two sets that are similar enough share one of the first
+   n - (least overlap) + 1 of both.  All such pairs of different components are
+   confirmed like other edges.  What many members have in common stands last in that
+   order, so a family with common boilerplate is not paired all with all.
+6. *Components* of the confirmed links (alternating stars); the smallest id stays.
+
+What can be lost: a pair that shares no band (above).
 No bucket is capped and nothing is sampled.
 
 Scale: sets are computed in a narrow map and never leave it; what is shuffled per
@@ -148,6 +153,48 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _shingles(size: int):
+    """Rows (rep, text) -> one row per distinct shingle."""
+
+    def run(batches):
+        for batch in batches:
+            T.trim()
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                data, offsets = T.flat(part.column("text"))
+                starts, ends, first = T.word_spans(data, offsets)
+                h = T.word_hashes(data, starts, ends, lower=True)
+                sets = [shingle_hashes(h[a:b], size) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+                rep = np.repeat(part.column("rep").to_numpy(), [len(s) for s in sets])
+                yield pa.RecordBatch.from_arrays([pa.array(rep, pa.int64()), pa.array(np.concatenate(sets).view(np.int64))], names=["rep", "shingle"])
+
+    return run
+
+
+def _prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Edges between all of ``left`` (rep, comp, n) of different components that can be similar enough."""
+    shingles = texts.join(left.select("rep"), "rep").select("rep", "text").mapInArrow(_shingles(size), "rep long, shingle long")
+    # A shingle of one set only comes first in the order and meets nobody: it is counted, not kept.
+    often = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    met = shingles.join(often, "shingle").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("met"))
+    # Sets of a and b shingles need percent (a + b) / (100 + percent) in common, so the first common one stands at a
+    # place of both with reach = 100 n - (100 + percent) (place - 1) >= percent times the other's n.
+    before = F.col("n") - F.col("size") + F.col("at")
+    placed = met.join(left, "rep").select("rep", "comp", "n", F.size("met").alias("size"), F.posexplode("met").alias("at", "m"))
+    prefix = placed.withColumn("reach", 100 * F.col("n") - (100 + percent) * before).where(100 * F.col("reach") >= percent * percent * F.col("n"))
+    prefix = stage(prefix.select("rep", "comp", "n", "reach", F.col("m.shingle").alias("shingle")), "near-prefixes")
+    # By way of the components that meet: members of one component are not paired first and dropped then.
+    groups = prefix.groupBy("shingle", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+
+    def side(table: DataFrame, s: str) -> DataFrame:
+        return table.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in table.columns if c != "shingle"])
+
+    fits = (F.col("x_reach") >= percent * F.col("y_n")) & (F.col("y_reach") >= percent * F.col("x_n"))
+    both = side(groups, "x").join(side(groups, "y"), "shingle").where(fits & (F.col("x_comp") < F.col("y_comp"))).select("shingle", "x_comp", "y_comp")
+    pairs = both.join(side(prefix, "x"), ["shingle", "x_comp"]).join(side(prefix, "y"), ["shingle", "y_comp"]).where(fits)
+    return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("c")).distinct()
+
+
 def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int = 5, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
     th = F.xxhash64("text")
@@ -176,26 +223,48 @@ def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int =
         edge = at.join(centre, "bucket").where("comp <> c_comp").where(100 * F.least("n", "c_n") >= percent * F.greatest("n", "c_n"))
         return edge.select(F.greatest("rep", "c").alias("a"), F.least("rep", "c").alias("c")).distinct()
 
+    def confirmed(edges: DataFrame) -> DataFrame:
+        pairs = edges.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("c"), F.col("text").alias("tc")), "c")
+        return stage(pairs.select("a", "c", "ta", "tc").mapInArrow(_confirm(size, percent), "a long, c long"), "near-links")
+
+    def placed(component: DataFrame | None) -> DataFrame:
+        if component is None:
+            return members.withColumn("comp", F.col("rep"))
+        return members.join(component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
+
+    def components(links: DataFrame) -> DataFrame:
+        return connected_components(links.select(F.col("a").alias("u"), F.col("c").alias("v")))
+
     links, tested, component, turn = None, None, None, 0
     while True:
-        if component is None:
-            at = members.withColumn("comp", F.col("rep"))
-        else:
-            at = members.join(component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
-        edges = propose(at, turn)
+        edges = propose(placed(component), turn)
         if tested is not None:
             edges = edges.join(tested, ["a", "c"], "left_anti")
         edges = stage(edges, "near-edges")
-        pairs = edges.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("rep").alias("c"), F.col("text").alias("tc")), "c")
-        found = stage(pairs.select("a", "c", "ta", "tc").mapInArrow(_confirm(size, percent), "a long, c long"), "near-links")
+        found = confirmed(edges)
         new = found.agg(F.count(F.lit(1))).first()[0]
         tested = edges if tested is None else tested.unionByName(edges)
         links = found if links is None else links.unionByName(found)
         if new:
-            component = connected_components(links.select(F.col("a").alias("u"), F.col("c").alias("v")))
+            component = components(links)
         turn += 1
         if not new and (turn >= 3 or component is None):
             break
+    # Two members were tested against each other when one was the centre.
+    at = placed(component)
+    open_buckets = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
+    left = stage(at.join(open_buckets.select("bucket"), "bucket").select("rep", "comp", "n").distinct(), "near-left")
+    if left.limit(1).count():
+        found = confirmed(stage(_prefix_pairs(left, texts, size, percent).join(tested, ["a", "c"], "left_anti"), "near-edges"))
+        # A family that is linked all with all needs few of its links: each node's least one, then those between the
+        # components that makes, until none is left.
+        while found.limit(1).count():
+            least = stage(found.groupBy("a").agg(F.min("c").alias("c")).select("a", "c"), "near-links")
+            links = least if links is None else links.unionByName(least)
+            component = components(links)
+            root = lambda x: component.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+            ends = found.join(root("a"), "a", "left").join(root("c"), "c", "left").select(F.coalesce("a_root", "a").alias("u"), F.coalesce("c_root", "c").alias("v"))
+            found = stage(ends.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("c")).distinct(), "near-links")
     of_class = classes.select(*key, "rep")
     if component is not None:
         of_class = of_class.join(component, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("root", "rep").alias("component"))

@@ -149,6 +149,20 @@ def test_near_duplicates(docs, rows):
     assert plain(op7_near_dups.near_duplicates(docs).drop("th")) == near(rows)
 
 
+@pytest.mark.parametrize("pairs", [0, 15])
+def test_near_duplicates_in_a_family_with_common_boilerplate(spark, pairs):
+    """Pages 0.745 alike share large buckets; the few pairs that are 0.7516 alike are all linked."""
+    common = [f"c{i}" for i in range(600)]
+    own = lambda i, n: [f"u{i}_{j}" for j in range(n)]
+    texts = [common + own(i, 102) for i in range(150)]
+    for k in range(pairs):
+        for side in (0, 1):
+            texts.append(common + own(f"{k}_{side}", 95) + own(f"both{k}", 7))
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = plain(op7_near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("th"))
+    assert got == near(rows) and sum(n for r, n in got.items() if not r[3]) == pairs
+
+
 def test_drop_near_duplicates(extra):
     out = op7_near_dups.drop_near_duplicates(extra)
     assert out.columns == extra.columns
