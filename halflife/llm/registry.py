@@ -18,6 +18,9 @@ MODULES = {
     "op8_bpe": "op8_bpe",
     "op9_toxicity": "op9_toxicity",
     "op10_mixing": "op10_mixing",
+    "op11_phrases": "op11_phrases",
+    "op12_audit": "op12_audit",
+    "op13_secrets": "op13_secrets",
 }
 
 
