@@ -9,23 +9,21 @@ Pipeline::
 
     commits -> file diffs -> hunks                       narrow: regex + split + posexplode
     diffs -> path events -> segments -> file identity    windows in (path, bucket), pointer jumping
-    hunks + identity -> per-file replay                  grouped map, streamed per file
+    hunks + identity -> replay                           sorted stream of files; hot files in segments
     replayed lines + files + bounds -> line lifecycle    joins, one-row bounds
 
-Only the replay runs Python, one file per group, its hunks streamed in log
-order; everything else is Catalyst expressions, windows and joins.
+Only the replay runs Python, on sorted Arrow batches; everything else is Catalyst
+expressions, windows and joins.
 """
 
 from __future__ import annotations
 
-from typing import Any, Iterator, Tuple
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halflife.functions.scalars import lifespan_days
+from halflife.operators.replay import replay_rows
 from halflife.operators.sequence import fill_forward_in_buckets
 from halflife.session import ensure_checkpoint_dir, stage, staged_path
 
@@ -390,7 +388,7 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rename source.  A rename target's segment continues the source's file.
     Returns ``(diff_files, files)``:
 
-    * diff_files: seq, dpos, file_id for every diff that applies to a file
+    * diff_files: seq, seq_bucket, dpos, file_id for every diff that applies to a file
       (deletes/renames of vacant paths are ignored),
     * files: file_id, path (latest), added, removed (delete time or null).
     """
@@ -417,181 +415,29 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
         added.join(latest, "file_id").join(removed, "file_id", "left").select("file_id", "path", "added", "removed"),
         "files",
     )
-    diff_files = prim.select("seq", "dpos", "ev", "author", "committed", "file_id")
+    diff_files = prim.select("seq", "seq_bucket", "dpos", "ev", "author", "committed", "file_id")
     return diff_files, files
 
 
 # ------------------------------------------------------------------ I9/I10
 
-REPLAY_SCHEMA = (
-    "file_id STRING, creator STRING, created TIMESTAMP_NTZ, remover STRING, removed TIMESTAMP_NTZ, "
-    "is_removed BOOLEAN, replay_errors INT"
-)
-
-
-class LineList:
-    """The live lines of one file: a list of blocks (each at most ``2 * block``
-    long) with a cursor, so inserts and removals cost O(block + blocks) instead
-    of O(lines) for very long files.  A hunk moves the cursor forward only."""
-
-    def __init__(self, block: int = 512):
-        self.block = block
-        self.blocks: list[list] = [[]]
-        self.n = 0
-        self.bi = 0
-        self.off = 0
-
-    def __len__(self) -> int:
-        return self.n
-
-    def seek(self, pos: int) -> None:
-        """Put the cursor before line ``pos`` (or at the end)."""
-        pos = min(max(pos, 0), self.n)
-        for i, b in enumerate(self.blocks):
-            if pos <= len(b) and (pos < len(b) or i == len(self.blocks) - 1):
-                self.bi, self.off = i, pos
-                return
-            pos -= len(b)
-        self.bi, self.off = len(self.blocks) - 1, len(self.blocks[-1])
-
-    def _normalise(self) -> None:
-        while self.off >= len(self.blocks[self.bi]) and self.bi < len(self.blocks) - 1:
-            self.off -= len(self.blocks[self.bi])
-            self.bi += 1
-
-    def skip(self) -> bool:
-        """Step over one line (a context line); False past the end."""
-        self._normalise()
-        if self.off >= len(self.blocks[self.bi]):
-            return False
-        self.off += 1
-        return True
-
-    def insert(self, item) -> None:
-        """Insert before the cursor position and step past the new line."""
-        self._normalise()
-        b = self.blocks[self.bi]
-        b.insert(self.off, item)
-        self.off += 1
-        self.n += 1
-        if len(b) > 2 * self.block:
-            self.blocks[self.bi: self.bi + 1] = [b[: self.block], b[self.block:]]
-            if self.off > self.block:
-                self.bi += 1
-                self.off -= self.block
-
-    def pop(self):
-        """Remove and return the line at the cursor, or None past the end."""
-        self._normalise()
-        b = self.blocks[self.bi]
-        if self.off >= len(b):
-            return None
-        item = b.pop(self.off)
-        self.n -= 1
-        if not b and len(self.blocks) > 1:
-            del self.blocks[self.bi]
-            if self.bi >= len(self.blocks):
-                self.bi, self.off = len(self.blocks) - 1, len(self.blocks[-1])
-            else:
-                self.off = 0
-        return item
-
-    def items(self) -> list:
-        return [x for b in self.blocks for x in b]
-
-    def clear(self) -> list:
-        out = self.items()
-        self.__init__(self.block)
-        return out
-
-
-REPLAY_BATCH = 10_000
-
-
-def _replay(key: Tuple[Any, ...], batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Replay one file's hunks in log order.  Live lines are (creator, created)
-    in a :class:`LineList`; only they are held, the hunks stream through and the
-    lines alive at the end leave in batches.  A removal or context line where the
-    file has no line is counted, and a step back in log order is refused."""
-    (file_id,) = key
-    live = LineList()
-    errors, last = 0, -1
-    for pdf in batches:
-        out_c, out_t, out_r, out_rt = [], [], [], []
-        for step, author, when, start, ops, closes in zip(
-            pdf["step"], pdf["author"], pdf["committed"], pdf["start"], pdf["ops"], pdf["closes"]
-        ):
-            if step <= last:
-                raise ValueError(f"hunks of file {file_id} reached the replay out of order")
-            last = step
-            if closes:
-                for c, t in live.clear():
-                    out_c.append(c), out_t.append(t), out_r.append(author), out_rt.append(when)
-                continue
-            live.seek(int(start))
-            for ch in ops:
-                if ch == " ":
-                    errors += not live.skip()
-                elif ch == "+":
-                    live.insert((author, when))
-                elif ch == "-":
-                    gone = live.pop()
-                    if gone is None:
-                        errors += 1
-                    else:
-                        out_c.append(gone[0]), out_t.append(gone[1]), out_r.append(author), out_rt.append(when)
-        if out_c:
-            yield pd.DataFrame(
-                {"file_id": file_id, "creator": out_c, "created": out_t, "remover": out_r,
-                 "removed": out_rt, "is_removed": True, "replay_errors": None}
-            )
-    rest = live.items()
-    for at in range(0, len(rest), REPLAY_BATCH):
-        part = rest[at : at + REPLAY_BATCH]
-        yield pd.DataFrame(
-            {
-                "file_id": file_id,
-                "creator": [c for c, _ in part],
-                "created": [t for _, t in part],
-                "remover": None,
-                "removed": pd.Series([pd.NaT] * len(part), dtype="datetime64[us]"),
-                "is_removed": False,
-                "replay_errors": None,
-            }
-        )
-    if errors:
-        # One row per file with mismatching hunks (Q5), told from lines by its count: counted, never invented.
-        nat = pd.Series([pd.NaT], dtype="datetime64[us]")
-        yield pd.DataFrame(
-            {"file_id": [file_id], "creator": [None], "created": nat, "remover": [None], "removed": nat,
-             "is_removed": [None], "replay_errors": [errors]}
-        )
-
 
-def replay_lines(hk: DataFrame, diff_files: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Per-file line replay.
+def replay_lines(hk: DataFrame, diff_files: DataFrame, partitions: int | None = None, split_above: int = 200_000) -> DataFrame:
+    """The lines of all files, from hunks and delete markers.
 
-    Hunks and delete markers are hash-partitioned by file and sorted by
-    (file, log order) so each group streams in order into the grouped map;
-    files are replayed in parallel, in as many partitions as their size asks for
-    (AQE), or ``partitions``.  A valid delete closes every line still alive (binary
-    and empty deletes included), after the hunks of its own diff.
+    A valid delete closes every line still alive (binary and empty deletes
+    included), after the hunks of its own diff.  Files are replayed in parallel, in as many
+    partitions as their size asks for (AQE), or ``partitions``; one with more than
+    ``split_above`` hunks in segments of its history (:mod:`halflife.operators.replay`).
     """
     h = hk.join(diff_files.select("seq", "dpos", "file_id"), ["seq", "dpos"]).select(
-        "file_id", "seq", "dpos", F.lit(False).alias("closes"), "hpos", "author", "committed", "start", "ops",
+        "file_id", "seq_bucket", "seq", "dpos", F.lit(False).alias("closes"), "hpos", "author", "committed", "start", "ops",
     )
     closes = diff_files.where(F.col("ev") == "D").select(
-        "file_id", "seq", "dpos", F.lit(True).alias("closes"), F.lit(0).alias("hpos"),
+        "file_id", "seq_bucket", "seq", "dpos", F.lit(True).alias("closes"), F.lit(0).alias("hpos"),
         "author", "committed", F.lit(0).alias("start"), F.lit("").alias("ops"),
     )
-    rows = h.unionByName(closes)
-    rows = rows.repartition(partitions, "file_id") if partitions else rows.repartition("file_id")
-    rows = rows.sortWithinPartitions("file_id", "seq", "dpos", "closes", "hpos")
-    # The row's place after the sort: the replay checks that nothing moved it since.
-    rows = rows.withColumn("step", F.monotonically_increasing_id())
-    return rows.select("file_id", "step", "author", "committed", "start", "ops", "closes").groupBy("file_id").applyInPandas(
-        _replay, REPLAY_SCHEMA
-    )
+    return replay_rows(h.unionByName(closes), partitions, split_above)
 
 
 # ------------------------------------------------------------------ I11-I13
