@@ -1,13 +1,15 @@
 """Patch-log ingest (I1-I13) as DataFrame jobs.
 
-Input: one row per commit with ``seq`` (a sortable key giving log order),
-``seq_bucket`` (a coarser sortable key, non-decreasing in ``seq``, bounding how
-many commits one task orders at a time) and ``text`` (the commit record of
-``git log --patch --reverse`` without the leading ``commit ``).
+Input: log records (``seq``, a sortable key giving log order; ``seq_bucket``, a
+coarser sortable key, non-decreasing in ``seq``, bounding how many rows one task
+orders at a time; ``piece``; and either ``head``, a commit's header, or ``diff``, the text
+of one file diff), or one row per commit with ``seq``, ``seq_bucket`` and ``text`` (the commit
+of ``git log --patch --reverse`` without the leading ``commit ``).
 
 Pipeline::
 
-    commits -> file diffs -> hunks                       narrow: regex + split + posexplode
+    records -> compact diffs -> diffs with their commit  narrow: regex + split + explode; bucketed fill-forward
+    diffs -> hunks                                       narrow
     diffs -> path events -> segments -> file identity    windows in (path, bucket), pointer jumping
     hunks + identity -> replay                           sorted stream of files; hot files in segments
     replayed lines + files + bounds -> line lifecycle    joins, one-row bounds
@@ -67,7 +69,9 @@ def commit_date_of(text: Column) -> Column:
 
 
 def commits(log: DataFrame) -> DataFrame:
-    """Seq, seq_bucket, sha, author, committed, text."""
+    """Seq, seq_bucket, sha, author, committed, text, of commit rows or of the headers of log records."""
+    if "head" in log.columns:
+        log = log.where(F.col("head").isNotNull()).select(_commit_seq().alias("seq"), "seq_bucket", F.col("head").alias("text"))
     head = F.col("__head")
     return log.withColumn("__head", _header(F.col("text"))).select(
         "seq",
@@ -79,6 +83,11 @@ def commits(log: DataFrame) -> DataFrame:
     )
 
 
+def _commit_seq() -> Column:
+    """Log order of a header among log records."""
+    return F.struct(F.col("seq.file").alias("file"), F.col("seq.block").alias("block"), F.col("seq.row").alias("row"), "piece")
+
+
 def dated(diffs: DataFrame) -> DataFrame:
     """Give diffs of commits without a readable date the last date read before them in the log.
 
@@ -113,60 +122,73 @@ def unquote(c: Column) -> Column:
     return F.when(c.rlike(r'^".*"$'), F.when(body.contains("\\"), path).otherwise(body)).otherwise(c)
 
 
-def _trimmed(c: Column) -> Column:
-    """Without the carriage return or tab that ends some header lines."""
-    return F.regexp_replace(c, r"[\t\r]+$", "")
+def _after_first(parts: Column) -> Column:
+    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
 
 
-def _strip_side(c: Column, side: str) -> Column:
-    """'a/x' -> 'x', '"a/x y"' -> 'x y', '/dev/null' -> null."""
-    c = unquote(_trimmed(c))
-    return F.when(c == "/dev/null", F.lit(None)).otherwise(_nz(F.regexp_replace(c, f"^{side}/", "")))
+def file_diffs(cm: DataFrame) -> DataFrame:
+    """One row per file diff of a commit, with paths, flags and hunk texts."""
+    parts = F.split(F.col("text"), r"\ndiff --git ")
+    return diff_columns(cm.select("seq", "seq_bucket", "author", "committed", F.posexplode(_after_first(parts)).alias("dpos", "diff")))
 
 
-def _after_first(parts: Column) -> Column:
-    return F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
+QUOTED = r'"(?:[^"\\]|\\.)*"'
 
 
-def file_diffs(cm: DataFrame) -> DataFrame:
-    """One row per file diff of a commit, with paths, flags and hunk texts.
+def diff_columns(d: DataFrame) -> DataFrame:
+    """Rows with a diff's text (``diff``) -> paths, kind and hunk texts instead; other columns stay.
 
-    Path precedence: rename lines, then ---/+++ lines, then the diff line.
-    Quoted paths are unquoted wherever they stand.
+    Path precedence: rename lines, then ---/+++ lines, then the diff line.  Quoted paths
+    are unquoted wherever they stand.  Every pattern is matched once: the first text
+    found for a side gives its path, and only those two are unquoted.  Short steps keep the
+    generated code of each below the limit beyond which Spark would interpret it.
     """
-    parts = F.split(F.col("text"), r"\ndiff --git ")
-    d = cm.select(
-        "seq", "seq_bucket", "author", "committed",
-        F.posexplode(_after_first(parts)).alias("dpos", "diff"),
+    others = [c for c in d.columns if c != "diff"]
+    diff, header, first = F.col("diff"), F.col("__header"), F.col("__first")
+    d = d.select(
+        *others, "diff",
+        F.substring_index(diff, "\n@@ -", 1).alias("__header"),
+        F.substring_index(diff, "\n", 1).alias("__first"),
     )
-    diff = F.col("diff")
-    header = F.substring_index(diff, "\n@@ -", 1)
-    first = F.regexp_extract(diff, r"^([^\n]*)", 1)
-    same = F.regexp_extract(first, r"^a/(.*) b/\1$", 1)
-    quoted = r'"(?:[^"\\]|\\.)*"'
-    q_old = _strip_side(F.regexp_extract(first, rf"^({quoted}) ", 1), "a")
-    q_new = _strip_side(F.regexp_extract(first, rf" ({quoted})$", 1), "b")
-    s_old = F.regexp_extract(first, r"^a/(\S+) b/\S+$", 1)
-    s_new = F.regexp_extract(first, r"^a/\S+ b/(\S+)$", 1)
-    line_old = F.coalesce(_nz(same), _nz(q_old), _nz(s_old))
-    line_new = F.coalesce(_nz(same), _nz(q_new), _nz(s_new))
-    minus_raw = _nz(F.regexp_extract(header, r"(?m)^--- (.*)$", 1))
-    plus_raw = _nz(F.regexp_extract(header, r"(?m)^\+\+\+ (.*)$", 1))
-    rename_from = _nz(unquote(_trimmed(F.regexp_extract(header, r"(?m)^rename from (.*)$", 1))))
-    rename_to = _nz(unquote(_trimmed(F.regexp_extract(header, r"(?m)^rename to (.*)$", 1))))
-    is_create = header.rlike(r"(?m)^new file mode ") | (_trimmed(minus_raw) == "/dev/null")
-    is_delete = header.rlike(r"(?m)^deleted file mode ") | (_trimmed(plus_raw) == "/dev/null")
-    old_path = F.coalesce(rename_from, _strip_side(minus_raw, "a"), line_old)
-    new_path = F.coalesce(rename_to, _strip_side(plus_raw, "b"), line_new)
-    out = d.select(
-        "seq", "seq_bucket", "dpos", "author", "committed",
-        old_path.alias("old_path"),
-        new_path.alias("new_path"),
-        F.coalesce(is_create, F.lit(False)).alias("is_create"),
-        F.coalesce(is_delete, F.lit(False)).alias("is_delete"),
-        rename_from.isNotNull().alias("is_rename"),
+
+    def found(text: Column, pattern: str, side: str = "") -> Column:
+        # The carriage return or tab that ends some header lines is no part of the path.
+        raw = F.rtrim(F.regexp_extract(text, pattern, 1), F.lit("\t\r"))
+        return F.struct(raw.alias("raw"), F.lit(side).alias("side"))
+
+    same = found(first, r"^a/(.*) b/\1$")
+    d = d.select(
+        *others,
+        F.array(
+            found(header, r"(?m)^--- (.*)$", "a/"), found(header, r"(?m)^rename from (.*)$"), same,
+            found(first, rf"^({QUOTED}) ", "a/"), found(first, r"^a/(\S+) b/\S+$"),
+        ).alias("__old"),
+        F.array(
+            found(header, r"(?m)^\+\+\+ (.*)$", "b/"), found(header, r"(?m)^rename to (.*)$"), same,
+            found(first, rf" ({QUOTED})$", "b/"), found(first, r"^a/\S+ b/(\S+)$"),
+        ).alias("__new"),
+        header.rlike(r"(?m)^new file mode ").alias("__made"),
+        header.rlike(r"(?m)^deleted file mode ").alias("__gone"),
         _after_first(F.split(diff, r"\n@@ -")).alias("hunk_texts"),
     )
+    nowhere = F.lit("/dev/null")
+
+    def chosen(side: str) -> Column:
+        texts = F.col(side)
+        order = F.concat(F.slice(texts, 2, 1), F.slice(texts, 1, 1), F.slice(texts, 3, 3))  # rename lines come first
+        return F.get(F.filter(order, lambda x: (x["raw"] != "") & (x["raw"] != nowhere)), F.lit(0))
+
+    clear = F.transform(F.array(chosen("__old"), chosen("__new")), lambda x: F.struct(unquote(x["raw"]).alias("raw"), x["side"].alias("side")))
+    strip = lambda x: _nz(F.when((x["side"] != "") & x["raw"].startswith(x["side"]), F.substring(x["raw"], 3, 1 << 30)).otherwise(x["raw"]))
+    out = d.select(
+        *others,
+        F.transform(clear, strip).alias("__paths"),
+        (F.col("__made") | (F.col("__old")[0]["raw"] == nowhere)).alias("is_create"),
+        (F.col("__gone") | (F.col("__new")[0]["raw"] == nowhere)).alias("is_delete"),
+        (F.col("__old")[1]["raw"] != "").alias("is_rename"),
+        "hunk_texts",
+    )
+    out = out.select(*others, F.col("__paths")[0].alias("old_path"), F.col("__paths")[1].alias("new_path"), "is_create", "is_delete", "is_rename", "hunk_texts")
     kind = (
         F.when(F.col("is_delete"), F.lit(KIND_DELETE))
         .when(F.col("is_rename"), F.lit(KIND_RENAME))
@@ -176,6 +198,26 @@ def file_diffs(cm: DataFrame) -> DataFrame:
     return out.withColumn("kind", kind)
 
 
+def carried_diffs(records: DataFrame) -> DataFrame:
+    """Log records -> compact diffs, each with its commit's author, date and place.
+
+    A record holds one diff and the headers that follow it, so a commit of any size is
+    never one row.  Texts are compacted where they are read; a diff then takes
+    its commit from the last header before it in the log, by a fill-forward in buckets
+    that carries one header per bucket to the next.
+    """
+    head = F.col("head")
+    commit = F.struct(
+        _commit_seq().alias("seq"), F.col("seq_bucket").alias("bucket"), author_of(head).alias("author"), commit_date_of(head).alias("committed")
+    )
+    rows = records.select("seq", "seq_bucket", "piece", "diff", F.when(head.isNotNull(), commit).alias("commit"))
+    rows = stage(compact_diffs(diff_columns(rows)), "log-records")
+    rows = fill_forward_in_buckets(rows, [], ["seq", "piece"], "commit", F.col("seq_bucket"), "of").where(F.col("commit").isNull())
+    place = F.struct(F.col("seq.block").alias("block"), F.col("seq.row").alias("row"))
+    diffs = rows.withColumns({"dpos": place, "seq": F.col("of.seq"), "seq_bucket": F.col("of.bucket"), "author": F.col("of.author"), "committed": F.col("of.committed")})
+    return diffs.where(F.col("seq").isNotNull()).drop("commit", "of", "piece")
+
+
 HUNK_PATTERN = r"^(\d+)(?:,(\d+))? \+(\d+)(?:,(\d+))? @@"
 
 
@@ -457,10 +499,12 @@ def parse_log(log: DataFrame, alias: DataFrame | None = None, key: tuple | None
     written as parquet under the checkpoint dir.  Every later step (identity,
     bounds, replay, reports) reads this lineage-free table.  ``key`` names the log
     (and the alias map): a table already written for it is read again."""
-    cm = commits(log)
-    if alias is not None:
-        cm = resolve_aliases(cm, alias)
-    diffs = stage(compact_diffs(file_diffs(cm)), "diffs", key=key)
+    spark = log.sparkSession
+    if key is not None and (path := staged_path(spark, "diffs", key)):
+        diffs = spark.read.parquet(path)
+    else:
+        diffs = carried_diffs(log) if "head" in log.columns else compact_diffs(file_diffs(commits(log)))
+        diffs = stage(diffs if alias is None else resolve_aliases(diffs, alias), "diffs", key=key)
     # A second pass only if some date could not be read.
     if diffs.where(F.col("committed").isNull()).isEmpty():
         return diffs.withColumn("date_missing", F.lit(False))

@@ -1,7 +1,7 @@
-"""Patch logs (``git log --patch --reverse``) as commit rows, and a renderer
+"""Patch logs (``git log --patch --reverse``) as records or commit rows, and a renderer
 that writes the events table as such a log (FIXTURES §3.4).
 
-Commit rows carry ``seq`` (log order) and ``seq_bucket`` (a coarser key,
+Rows carry ``seq`` (log order) and ``seq_bucket`` (a coarser key,
 non-decreasing in ``seq``); see :mod:`halflife.operators.ingest`.
 """
 
@@ -18,38 +18,65 @@ from halflife.operators.sequence import shift_in_buckets, time_slices
 from halflife.sources.bindings import events_slots
 
 COMMIT_SEP = "\ncommit "
+DIFF_SEP = "\ndiff --git "
 # Fixed value: the e-mail domain of authors in the rendered events log.
 EVENTS_EMAIL_DOMAIN = "example.org"
 
 
 def read_patch_log(spark: SparkSession, path: str) -> DataFrame:
-    """One row per commit, split on ``\\ncommit `` by the text source.
+    """One row per commit, split on ``\\ncommit `` by the text source: seq, seq_bucket, text.
 
     Order key: (file number, split start, row id in split), all numbers; a log is one
     file, or files whose names are in log order, numbers in a name compared as
     numbers (part-99999 before part-100000).  The split is the bucket, so ordering
     work downstream is bounded by the split size.
     """
-    raw = spark.read.option("lineSep", COMMIT_SEP).text(path)
+    rows = _numbered(spark, path, COMMIT_SEP)
+    # A file's last record also holds the blank line that ends the others as part of the separator.
+    text = F.regexp_replace(F.regexp_replace(F.col("value"), r"^commit ", ""), r"\n+$", "\n")
+    return rows.select("seq", "seq_bucket", text.alias("text"))
+
+
+def read_log_records(spark: SparkSession, path: str) -> DataFrame:
+    """The log cut at every commit and every file diff: seq, seq_bucket, piece, head, diff.
+
+    The text source splits on ``\\ndiff --git ``, so a row it reads is one diff and the headers
+    of the commits that follow it; those are cut off here.  No row holds more than one
+    diff, however large the commit is.  Order key as :func:`read_patch_log`'s, then ``piece``.
+    """
+    rows = _numbered(spark, path, DIFF_SEP)
+    first = F.col("value").startswith("commit ")  # a file begins with a header; a diff never begins like one
+    value = F.when(first, F.concat(F.lit("\n"), F.col("value"))).otherwise(F.col("value"))
+    rows = rows.select("seq", "seq_bucket", first.alias("first"), F.posexplode(F.split(value, COMMIT_SEP)).alias("piece", "text"))
+    # Before a file's first header there is nothing, not a diff.
+    rows = rows.where(~(F.col("first") & (F.col("piece") == 0)))
+    return rows.select(
+        "seq", "seq_bucket", "piece",
+        F.when(F.col("piece") > 0, F.col("text")).alias("head"),
+        F.when(F.col("piece") == 0, F.regexp_replace("text", r"\n+$", "\n")).alias("diff"),
+    )
+
+
+def _numbered(spark: SparkSession, path: str, separator: str) -> DataFrame:
+    """value, seq, seq_bucket of the records of a log that are not blank."""
+    raw = spark.read.option("lineSep", separator).text(path)
     names = sorted((_file_name(f) for f in raw.inputFiles()), key=_natural)
     if len(set(names)) != len(names):
         raise ValueError("a patch log's files must have different names: they give the order")
     m = F.col("_metadata")
     rows = raw.select(
-        # A file's last record also holds the blank line that ends the others as part of the separator.
-        F.regexp_replace(F.regexp_replace(F.col("value"), r"^commit ", ""), r"\n+$", "\n").alias("text"),
+        "value",
         m.getField("file_name").alias("name"),
         m.getField("file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("row"),
-    ).where(F.length(F.trim(F.col("text"))) > 0)
+    ).where(F.length(F.trim(F.col("value"))) > 0)
     if len(names) == 1:
         rows = rows.withColumn("file", F.lit(0).cast("bigint"))
     else:
         numbers = spark.createDataFrame(list(zip(names, range(len(names)))), "name string, file long")
-        rows = rows.join(numbers, "name")
-    return rows.select(
-        F.struct("file", "block", "row").alias("seq"), F.struct("file", "block").alias("seq_bucket"), "text"
-    )
+        # One short row per input file, all known to the driver that listed them: small unless there are very many.
+        rows = rows.join(F.broadcast(numbers) if len(names) <= 100_000 else numbers, "name")
+    return rows.select("value", F.struct("file", "block", "row").alias("seq"), F.struct("file", "block").alias("seq_bucket"))
 
 
 def _file_name(uri: str) -> str:
@@ -123,7 +150,7 @@ def events_alias_map(roster: DataFrame) -> DataFrame:
 
 def stage_patch_log(log: DataFrame, key: tuple | None = None) -> DataFrame:
     """Write commit rows as a log file under the shared checkpoint dir and read
-    it back with :func:`read_patch_log` (cuts lineage; survives executor loss).
+    it back with :func:`read_log_records` (cuts lineage; survives executor loss).
     With ``key``, a log already written in this application is read again."""
     import uuid
 
@@ -131,9 +158,9 @@ def stage_patch_log(log: DataFrame, key: tuple | None = None) -> DataFrame:
 
     spark = log.sparkSession
     if key is not None and (path := staged_path(spark, "patch-log", key)):
-        return read_patch_log(spark, path)
+        return read_log_records(spark, path)
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/patch-logs/{uuid.uuid4().hex}"
     write_patch_log(log, path)
     if key is not None:
         remember_staged(spark, "patch-log", key, path)
-    return read_patch_log(spark, path)
+    return read_log_records(spark, path)

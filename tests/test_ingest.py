@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gitsim import Sim
 from halflife.operators import ingest as I
-from halflife.sources.patch_log import read_patch_log
+from halflife.sources.patch_log import read_log_records, read_patch_log
 
 T = dt.datetime
 
@@ -292,3 +292,58 @@ def test_identity_independent_of_buckets(spark, seed):
     one = ident(F.lit(0))
     assert ident(F.col("seq")) == one  # every commit its own bucket
     assert one[1] and sorted((p, a, r) for _, p, a, r in one[1]) == sim.files_truth()
+
+
+# ---------------------------------------------------------------- log records: cut at commits and diffs
+
+
+def _both(spark, path):
+    return read_patch_log(spark, path), read_log_records(spark, path)
+
+
+def _parsed(log):
+    cols = ["author", "committed", "old_path", "new_path", "is_create", "is_delete", "is_rename", "hunk_ops", "kind", "date_missing"]
+    return sorted(str(tuple(r)) for r in I.parse_log(log).select(cols).collect())
+
+
+def _written(*texts):
+    d = tempfile.mkdtemp(prefix="halflife-log-", dir="/tmp")
+    for i, text in enumerate(texts):
+        with open(os.path.join(d, f"log-{i}.txt"), "w") as fh:
+            fh.write(text)
+    return d
+
+
+@pytest.mark.parametrize("texts", [[FIXTURE_LOG], [EDGE_LOG], [FIXTURE_LOG, EDGE_LOG], ["commit 1\nAuthor: A <a@b.c>\n\n    no diff, no date\n"]])
+def test_records_parse_like_commits(spark, texts):
+    whole, records = _both(spark, _written(*texts))
+    assert _parsed(records) == _parsed(whole)
+    heads = [sorted(tuple(r) for r in I.commits(x).select("sha", F.coalesce("author", F.lit("")), F.col("committed").cast("string")).fillna("").collect()) for x in (whole, records)]
+    assert heads[0] == heads[1]
+
+
+def test_no_record_holds_two_diffs(spark):
+    """One commit with many diffs, cut over several splits of the file, in log order."""
+    body = "".join(f"diff --git a/f{i} b/f{i}\nnew file mode 100644\n--- /dev/null\n+++ b/f{i}\n@@ -0,0 +1,2 @@\n+{i}\n+{'x' * 200}\n" for i in range(400))
+    later = FIXTURE_LOG.replace("a.java", "f7").replace("new file mode 100644\n", "")
+    path = _written("commit 1\nAuthor: Big <big@example.org>\nDate:   Mon Sep 3 09:00:00 2018 +0200\n\n    import\n\n" + body + "\n" + later)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    try:
+        records = read_log_records(spark, path)
+        assert records.select("seq_bucket").distinct().count() > 3
+        assert records.agg(F.max(F.length("diff"))).first()[0] < 400
+        assert records.where("diff like '%diff --git%' or head like '%diff --git%'").count() == 0
+        lines = sorted(tuple("" if v is None else str(v) for v in r) for r in I.line_lifecycle(records).collect())
+        whole = sorted(tuple("" if v is None else str(v) for v in r) for r in I.line_lifecycle(read_patch_log(spark, path)).collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    assert lines == whole and sum(r[1] == "big@example.org" for r in lines) == 800
+
+
+@pytest.mark.parametrize("seed", [2, 4])
+def test_simulated_history_from_records(spark, seed):
+    sim = Sim(seed).run(120)
+    records = read_log_records(spark, _written(sim.log_text()))
+    exp = [tuple("" if v is None else v for v in (p, f"{c}@example.org", r and f"{r}@example.org", a, b, life)) for p, c, r, a, b, life in sim.truth(True)]
+    assert _rows(I.line_lifecycle(records, include_removed_files=True)) == sorted(exp)
