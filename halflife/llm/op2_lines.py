@@ -73,14 +73,19 @@ class _Lines:
         self.number = np.arange(self.base[-1]) - self.base[self.doc]
         h = T.word_hashes(self.data, self.starts, self.ends)
         self.h = h
-        # Polynomial sums: the hash of any run of words, with or without one of them.
-        self.sums = []
+        # Running sums of words times a number of their place in the line, and of the place before: the
+        # hash of any line, with or without one of its words.  Two digests with numbers of their own.
+        place = np.arange(len(h)) - self.first[line_of_word]
+        self.sums, self.moved = [], []
         for seed in (61, 62):
-            self.sums.append(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(T.mix(h, seed) * T.powers(len(h)))]))
+            value, by = T.mix(h, seed), T.multipliers(int(place.max()) + 2 if len(h) else 1, 80 + seed)
+            self.sums.append(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value * by[place])]))
+            if not self.moved:
+                self.moved.append(np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(value * by[place - 1])]))
 
     def digest(self, lines: np.ndarray, which: int) -> np.ndarray:
         a, b = self.first[lines], self.first[lines] + self.size[lines]
-        return T.mix((self.sums[which][b] - self.sums[which][a]) * T._inverse_powers(len(self.h) + 1)[a] + self.size[lines].astype(np.uint64), 63)
+        return T.mix(self.sums[which][b] - self.sums[which][a] + self.size[lines].astype(np.uint64), 63)
 
     def without(self, lines: np.ndarray):
         """(line, place, digest of the line without the word there) for every word of the lines."""
@@ -88,9 +93,8 @@ class _Lines:
         line = np.repeat(lines, n)
         place = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
         a, b = self.first[line], self.first[line] + self.size[line]
-        s, back = self.sums[0], T._inverse_powers(len(self.h) + 2)
-        left = (s[a + place] - s[a]) * back[a]
-        right = (s[b] - s[a + place + 1]) * back[a + 1]
+        left = self.sums[0][a + place] - self.sums[0][a]
+        right = self.moved[0][b] - self.moved[0][a + place + 1]
         return line, place, T.mix(left + right + (self.size[line] - 1).astype(np.uint64), 63)
 
     def words(self, line: int) -> str:

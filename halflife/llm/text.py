@@ -63,6 +63,15 @@ def powers(n: int) -> np.ndarray:
     return have[:n]
 
 
+def multipliers(n: int, seed: int) -> np.ndarray:
+    """n odd numbers without a pattern, one per place: sums of values times these do not cancel
+    for texts that repeat or alternate, as sums with powers of one base can."""
+    have = _POWERS.get(seed)
+    if have is None or len(have) < n:
+        have = _POWERS[seed] = mix(np.arange(1 << max(12, int(n).bit_length()), dtype=np.uint64), seed) | np.uint64(1)
+    return have[:n]
+
+
 def flat(column) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, offsets) of a string or binary column; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -108,7 +117,7 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
         # Position inside the word; the bytes between words are not summed.
         inside = np.arange(len(piece), dtype=np.int64)
         inside -= np.repeat(begin, np.diff(np.append(begin, len(piece))))
-        piece = piece * powers(int(inside.max()) + 1)[inside]
+        piece = piece * multipliers(int(inside.max()) + 1, 71)[inside]
         cuts = np.empty(2 * len(begin), dtype=np.int64)
         cuts[0::2] = begin
         cuts[1::2] = begin + length
