@@ -132,16 +132,20 @@ class _Phrases:
             code.append(T.windows(codes, size, 51 + size)[places[first]])
         self.at, self.k, self.count, self.code = map(np.concatenate, (at, k, counts, code))
 
-    def texts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(bytes, lengths) of the phrases ``rows``, words joined by one space."""
+    def joined(self) -> tuple[np.ndarray, np.ndarray]:
+        """(all words of the chunk, each with one space after it; where each word begins)."""
         size = self.ends - self.starts + 1
         place = np.concatenate([[0], np.cumsum(size)])
+        if not len(size):
+            return np.zeros(0, dtype=np.uint8), place
         plain = self.data[np.minimum(np.repeat(self.starts - place[:-1], size) + np.arange(place[-1]), len(self.data) - 1)]
         plain[place[1:] - 1] = 32
-        a = place[self.at[rows]]
-        length = place[self.at[rows] + self.k[rows]] - 1 - a
-        out = np.cumsum(length) - length
-        return plain[np.repeat(a - out, length) + np.arange(int(length.sum()))], length
+        return plain, place
+
+
+def _slices(plain: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    out = np.cumsum(length) - length
+    return plain[np.repeat(begin - out, length) + np.arange(int(length.sum()))]
 
 
 def _name_hash(name: str) -> int:
@@ -230,10 +234,14 @@ def _recount(longest: int, n_buckets: int, n_sums: int):
             for i, name in enumerate(p.langs)
             if p.words[i]
         ]
-        for to, part in X.split_by((T.mix(p.code[rows], 60) % np.uint64(n_sums)).astype(np.int64)):
-            some = rows[part]
-            data, length = p.texts(some)
-            out.append((to, _counts(names, p.lang[p.at[some]], p.k[some], p.count[some], length, data)))
+        plain, place = p.joined()
+        begin = place[p.at[rows]]
+        length = place[p.at[rows] + p.k[rows]] - 1 - begin
+        lang, k, count = p.lang[p.at[rows]], p.k[rows], p.count[rows]
+        to_sum = (T.mix(p.code[rows], 60) % np.uint64(n_sums)).astype(np.int64)
+        del p
+        for to, part in X.split_by(to_sum):
+            out.append((to, _counts(names, lang[part], k[part], count[part], length[part], _slices(plain, begin[part], length[part]))))
         return X.mail(out)
 
     return run
