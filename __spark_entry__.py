@@ -25,7 +25,8 @@ from halflife.sources.lifecycle import (
     write_lifecycle_text,
 )
 from halflife.sources.parts_log import render_parts_log
-from halflife.sources.patch_log import events_alias_map, render_events_log, stage_patch_log
+from halflife.plans.files import P7_COLUMNS
+from halflife.sources.patch_log import events_alias_map, render_events_log, render_queue_log, stage_patch_log
 from halflife.sources.reports import write_author_roster, write_report
 
 try:  # an optional part: the library and its queries work without it
@@ -170,7 +171,7 @@ def _hunk_rows(diffs):
 
 
 def _q_file_identity(spark, d):
-    _, files = I.file_identity(_events_diffs(spark, d))
+    _, files = I.file_identity(_events_diffs(spark, d), _events_key(spark, d))
     return files.select("path", "added", "removed")
 
 
@@ -186,7 +187,7 @@ def _q_alias_resolution(spark, d):
 
 def _q_history_summary_log(spark, d):
     diffs = _events_diffs(spark, d)
-    _, files = I.file_identity(diffs)
+    _, files = I.file_identity(diffs, _events_key(spark, d))
     return P.history_summary(files, I.history_bounds(diffs, files))
 
 
@@ -198,7 +199,7 @@ def _q_author_rates_log(spark, d):
 def _q_file_population_log(spark, d):
     """P7 on the files of the log, bounded by its first add and last change."""
     diffs = _events_diffs(spark, d)
-    _, files = I.file_identity(diffs)
+    _, files = I.file_identity(diffs, _events_key(spark, d))
     return P.file_population(files, I.history_bounds(diffs, files))
 
 
@@ -226,7 +227,7 @@ def _q_patch_hunks_parts(spark, d):
 
 
 def _q_file_identity_parts(spark, d):
-    _, files = I.file_identity(_parts_diffs(spark, d))
+    _, files = I.file_identity(_parts_diffs(spark, d), _parts_key(spark, d))
     return files.select("path", "added", "removed")
 
 
@@ -244,10 +245,17 @@ def _q_author_rates_parts(spark, d):
 
 def _q_file_population_parts(spark, d):
     diffs = _parts_diffs(spark, d)
-    _, files = I.file_identity(diffs)
+    _, files = I.file_identity(diffs, _parts_key(spark, d))
     return P.file_population(files, I.history_bounds(diffs, files))
 
 
+def _q_line_lifecycle_hot(spark, d):
+    """I9 on a log with over half of its hunks in one file, replayed in segments, and a file per commit."""
+    key = ("queue", *B.tables_key(spark, d, ("events",)))
+    log = stage_patch_log(render_queue_log(spark, d), key=key)
+    return I.line_lifecycle(log, key=key, split_above=2_000)
+
+
 def _q_replay_errors(spark, d):
     """Mismatches of a log with known faults, by file (Q5)."""
     errors = I.ingest_errors(_parts_diffs(spark, d, faulty=True), key=_parts_key(spark, d, faulty=True))
@@ -291,6 +299,14 @@ def _q_daily_sink(spark, d):
     return spark.read.csv(path, header=True, schema="date date, author string, lines_added long, lines_removed long")
 
 
+def _q_population_sink(spark, d):
+    """The daily file population, all 27 columns, as CSV, read back."""
+    path = _scratch(spark, "population")
+    write_report(P.file_population(B.parts_files(spark, d)), path, order_by=["date"])
+    schema = ", ".join(f"{c} {'string' if c == 'date' else 'long'}" for c in P7_COLUMNS)
+    return spark.read.csv(path, header=True, schema=schema)
+
+
 def _q_roster_sink(spark, d):
     """The roster as the template of an alias file, read back as one."""
     path = _scratch(spark, "roster")
@@ -361,12 +377,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "alias_csv": _q_alias_csv,
         "report_sink": _q_report_sink,
         "daily_sink": _q_daily_sink,
+        "population_sink": _q_population_sink,
         "roster_sink": _q_roster_sink,
         "lifecycle_parquet": _q_lifecycle_parquet,
         "day_stamps": _q_day_stamps,
         "patch_hunks_parts": _q_patch_hunks_parts,
         "file_identity_parts": _q_file_identity_parts,
         "line_lifecycle_parts": _q_line_lifecycle_parts,
+        "line_lifecycle_hot": _q_line_lifecycle_hot,
         "line_lifecycle_parts_all": _q_line_lifecycle_parts_all,
         "author_rates_parts": _q_author_rates_parts,
         "file_population_parts": _q_file_population_parts,
@@ -866,6 +884,7 @@ SELECT CASE WHEN s_suppkey % 5 = 0 THEN 's' || s_suppkey ELSE 'n' || s_nationkey
 FROM supplier GROUP BY 1""",
         "report_sink": _p3_sql(_ORDERS),
         "daily_sink": _p6_sql(_EVENTS, False),
+        "population_sink": _p7_sql(False),
         "roster_sink": """
 SELECT DISTINCT 'u' || CAST(user_id AS VARCHAR) || '@example.org' AS alias_from,
        'u' || CAST(user_id AS VARCHAR) || '@example.org' AS alias_to
@@ -878,6 +897,18 @@ SELECT CAST(created AS DATE) AS day, date_trunc('day', max(created))::TIMESTAMP
 FROM life GROUP BY 1""",
         "patch_hunks_parts": _PARTS_LOG + _PARTS_HUNKS,
         "file_identity_parts": _PARTS_LOG + "\nSELECT path, added, removed FROM pfiles",
+        "line_lifecycle_hot": f"""
+WITH r AS (
+  SELECT date_trunc('second', ts) AS tm, 'u' || CAST(user_id AS VARCHAR) || '@example.org' AS who, event_id,
+    row_number() OVER (ORDER BY ts, event_id) - 1 AS i FROM events
+),
+x AS (
+  SELECT 'queue.log' AS path, a.who AS creator, b.who AS remover, a.tm AS created, b.tm AS removed FROM r a LEFT JOIN r b ON b.i = 2 * a.i + 1
+  UNION ALL
+  SELECT 'notes/' || CAST(event_id AS VARCHAR) || '.txt', who, NULL, tm, NULL FROM r
+),
+l AS (SELECT max(tm) + INTERVAL 1 DAY AS last_day FROM r)
+SELECT path, creator, remover, created, removed, greatest({_days('created', 'coalesce(removed, last_day)')}, -1) AS lifespan FROM x, l""",
         "line_lifecycle_parts": _PARTS_LOG + _PARTS_LIFE + "\nWHERE file_removed IS NULL",
         "line_lifecycle_parts_all": _PARTS_LOG + _PARTS_LIFE,
         "author_rates_parts": _PARTS_LOG + ", life AS (" + _PARTS_LIFE + ")" + _P6_TAIL,

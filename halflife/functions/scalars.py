@@ -100,18 +100,21 @@ def cohort_label(c) -> Column:
 
 
 def micros_between(start, end) -> Column:
-    """end - start in microseconds, by the calendar and the clock: no session zone takes part."""
-    start, end = col_of(start), col_of(end)
-    days = F.datediff(F.to_date(end), F.to_date(start)).cast("bigint")
-    return days * MICROS_PER_DAY + clock_micros(end) - clock_micros(start)
+    """end - start in microseconds, by the calendar and the clock: no session zone takes part.
+
+    Zone-less timestamps differ by a day-time interval; its fields are plain divisions of a
+    number, so both operands are read once.
+    """
+    span = col_of(end).cast("timestamp_ntz") - col_of(start).cast("timestamp_ntz")
+    field = lambda name: F.extract(F.lit(name), span)
+    minutes = (field("DAY").cast("bigint") * 24 + field("HOUR")) * 60 + field("MINUTE")
+    return minutes * (60 * MICROS_PER_SECOND) + (field("SECOND") * MICROS_PER_SECOND).cast("bigint")
 
 
 def clock_micros(c) -> Column:
     """Microseconds since midnight on the value's own clock."""
-    c = col_of(c)
-    seconds = F.extract(F.lit("SECOND"), c).cast("decimal(8,6)")
-    minutes = (F.hour(c) * 60 + F.minute(c)).cast("bigint")
-    return minutes * (60 * MICROS_PER_SECOND) + (seconds * MICROS_PER_SECOND).cast("bigint")
+    c = col_of(c).cast("timestamp_ntz")
+    return micros_between(c.cast("date").cast("timestamp_ntz"), c)
 
 
 def time_text(c) -> Column:
@@ -121,7 +124,9 @@ def time_text(c) -> Column:
 
 def whole_days(start, end) -> Column:
     """Python ``(end - start).days``: floor of the difference in days."""
-    return F.floor(micros_between(start, end) / F.lit(MICROS_PER_DAY)).cast("int")
+    micros = micros_between(start, end)
+    day = F.lit(MICROS_PER_DAY)
+    return F.call_function("div", micros - F.pmod(micros, day), day).cast("int")
 
 
 def days_between(start, end) -> Column:

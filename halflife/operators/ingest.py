@@ -422,7 +422,7 @@ def _segment_starts(ev: DataFrame) -> DataFrame:
     return rows.drop("__prev_local", "__first", "__lb", "__prev_bucket_ev", "__carry")
 
 
-def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def file_identity(diffs: DataFrame, key: tuple | None = None) -> tuple[DataFrame, DataFrame]:
     """Give every diff the file it applies to; list the files.
 
     A path holds a sequence of segments; a segment starts at a create or
@@ -433,8 +433,13 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     * diff_files: seq, seq_bucket, dpos, file_id for every diff that applies to a file
       (deletes/renames of vacant paths are ignored),
     * files: file_id, path (latest), added, removed (delete time or null).
+
+    With ``key`` (the state of the log) both are written once and read by every later call.
     """
-    ensure_checkpoint_dir(diffs.sparkSession)
+    spark = diffs.sparkSession
+    if key is not None and (of_diffs := staged_path(spark, "diff-files", key)) and (listed := staged_path(spark, "files", key)):
+        return spark.read.parquet(of_diffs), spark.read.parquet(listed)
+    ensure_checkpoint_dir(spark)
     ev = _segment_starts(stage(path_events(diffs), "path_events"))
     ev = ev.withColumn("seg", F.when(F.col("valid"), F.struct(F.col("path"), F.col("seg_start").alias("start"))))
     ev = stage(ev, "path_segments")
@@ -456,9 +461,10 @@ def file_identity(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
     files = stage(
         added.join(latest, "file_id").join(removed, "file_id", "left").select("file_id", "path", "added", "removed"),
         "files",
+        key=key,
     )
     diff_files = prim.select("seq", "seq_bucket", "dpos", "ev", "author", "committed", "file_id")
-    return diff_files, files
+    return diff_files if key is None else stage(diff_files, "diff-files", key=key), files
 
 
 # ------------------------------------------------------------------ I9/I10
@@ -511,15 +517,13 @@ def parse_log(log: DataFrame, alias: DataFrame | None = None, key: tuple | None
     return stage(dated(diffs), "dated-diffs", key=key)
 
 
-def _replayed(diffs: DataFrame, key: tuple | None) -> tuple[DataFrame, DataFrame]:
+def _replayed(diffs: DataFrame, key: tuple | None, split_above: int = 200_000) -> tuple[DataFrame, DataFrame]:
     """(replay rows, files), written once per ``key``."""
+    diff_files, files = file_identity(diffs, key)
     spark = diffs.sparkSession
-    if key is not None and (lines := staged_path(spark, "replay", key)) and (files := staged_path(spark, "replay-files", key)):
-        return spark.read.parquet(lines), spark.read.parquet(files)
-    diff_files, files = file_identity(diffs)
-    if key is not None:
-        files = stage(files, "replay-files", key=key)
-    return stage(replay_lines(hunks(diffs), diff_files), "replay", key=key), files
+    if key is not None and (path := staged_path(spark, "replay", key)):
+        return spark.read.parquet(path), files
+    return stage(replay_lines(hunks(diffs), diff_files, split_above=split_above), "replay", key=key), files
 
 
 def ingest_errors(diffs: DataFrame, key: tuple | None = None) -> DataFrame:
@@ -545,6 +549,7 @@ def line_lifecycle(
     include_removed_files: bool = False,
     with_file_columns: bool = False,
     key: tuple | None = None,
+    split_above: int = 200_000,
 ) -> DataFrame:
     """Commit log -> one row per code line ever written:
     path, creator, remover, created, removed, lifespan (+ file_id, file_removed,
@@ -552,9 +557,10 @@ def line_lifecycle(
     deleted files are left out unless ``include_removed_files``.
 
     The replay is written once and read by every report; with ``key`` (the state of
-    the log) it is shared by all calls of an application."""
+    the log) it is shared by all calls of an application.  Files with more than ``split_above``
+    hunks are replayed in segments."""
     diffs = parse_log(log, alias, key)
-    rows, files = _replayed(diffs, key)
+    rows, files = _replayed(diffs, key, split_above)
     errors = rows.where(F.col("replay_errors").isNotNull()).groupBy("file_id").agg(F.sum("replay_errors").cast("int").alias("replay_errors"))
     lines = rows.where(F.col("replay_errors").isNull()).drop("replay_errors")
     last_day = history_bounds(diffs, files).select(

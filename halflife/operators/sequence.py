@@ -123,3 +123,62 @@ def fill_forward_in_buckets(
     per_bucket = per_bucket.select(*keys, _B, F.last(_E, ignorenulls=True).over(wb).alias(_E))
     joined = marked.join(per_bucket, on=[*keys, _B], how="left")
     return joined.select(*df.columns, F.coalesce(F.col(_N), F.col(_E)).alias(out))
+
+
+# How a running value takes the carry of the buckets before.
+_MEET = {
+    "sum": lambda carry, here: F.coalesce(carry + here, carry, here),
+    "min": lambda carry, here: F.least(carry, here),
+    "max": lambda carry, here: F.greatest(carry, here),
+    "last": lambda carry, here: F.coalesce(here, carry),
+}
+_RUN = {"sum": F.sum, "min": F.min, "max": F.max, "last": lambda c: F.last(c, ignorenulls=True)}
+
+
+def scan_in_buckets(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    columns: dict[str, tuple[str, str]],
+    buckets: Column | Sequence[Column],
+    *,
+    inclusive: bool = True,
+) -> DataFrame:
+    """Add running values: ``columns`` maps each new column to (``sum``, ``min``, ``max`` or
+    ``last``, value column), over the rows up to each row (before it, if not ``inclusive``) in
+    ``order`` within ``keys``; ``last`` skips nulls.
+
+    A prefix scan in two passes.  Rows are scanned per (key, bucket); each bucket's total
+    becomes one row, the totals are scanned, and every row takes the carry of the buckets
+    before its own.  ``buckets`` may be several, from fine to coarse, each non-decreasing in
+    the one before: then the totals are scanned in the coarser buckets in the same way, so
+    that no task ever holds all of them.  Rows of one order value should lie in one bucket.
+    """
+    buckets = [buckets] if isinstance(buckets, Column) else list(buckets)
+    keys, order = list(keys), list(order)
+    names = [f"{_B}{i}" for i in range(len(buckets))]
+    rows = df.withColumns(dict(zip(names, buckets)))
+    inside = Window.partitionBy(*keys, names[0]).orderBy(*[F.col(o).asc_nulls_first() for o in order])
+    frame = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    here = {out: f"__hl_here_{out}" for out in columns}
+    rows = rows.withColumns({here[out]: _RUN[fn](F.col(v)).over(frame) for out, (fn, v) in columns.items()})
+    rank = F.struct(*[F.col(o) for o in order])
+
+    def total(fn: str, value: str) -> Column:
+        if fn != "last":
+            return _RUN[fn](F.col(value))
+        return F.max(F.when(F.col(value).isNotNull(), F.struct(rank.alias("r"), F.col(value).alias("v")))).getField("v")
+
+    totals = rows.groupBy(*keys, *names).agg(*[total(fn, v).alias(f"__hl_total_{out}") for out, (fn, v) in columns.items()])
+    carried = {f"__hl_carry_{out}": (fn, f"__hl_total_{out}") for out, (fn, _) in columns.items()}
+    if len(names) > 1:
+        totals = scan_in_buckets(totals, keys, [names[0]], carried, [F.col(n) for n in names[1:]], inclusive=False)
+    else:
+        before = Window.partitionBy(*keys).orderBy(F.col(names[0]).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+        totals = totals.withColumns({c: _RUN[fn](F.col(v)).over(before) for c, (fn, v) in carried.items()})
+    totals = totals.select(*[F.col(k).alias(f"__hl_k_{k}") for k in keys], F.col(names[0]).alias("__hl_at"), *carried)
+    same = F.col(names[0]).eqNullSafe(F.col("__hl_at"))
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"__hl_k_{k}"))
+    met = rows.join(totals, same, "left")
+    return met.select(*df.columns, *[_MEET[fn](F.col(f"__hl_carry_{out}"), F.col(here[out])).alias(out) for out, (fn, _) in columns.items()])

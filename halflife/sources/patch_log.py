@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from halflife.functions.scalars import time_text
-from halflife.operators.sequence import shift_in_buckets, time_slices
+from halflife.operators.sequence import scan_in_buckets, shift_in_buckets, time_slices
 from halflife.sources.bindings import events_slots
 
 COMMIT_SEP = "\ncommit "
@@ -142,6 +142,38 @@ def render_events_log(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_
     )
 
 
+QUEUE_FILE = "queue.log"
+
+
+def render_queue_log(spark: SparkSession, sf_dir: str, slice_rows: int = 2_000_000) -> DataFrame:
+    """Events as commits on one hot file and very many small ones.
+
+    Every event puts a line on top of the queue file, and every second one also removes the
+    queue's last line, the oldest (a hunk of its own); its second diff creates a file
+    with one line.  The queue has over half of the log's hunks and grows all the time.
+    """
+    e = time_slices(events_slots(spark, sf_dir).select("ts", "event_id", "user_id"), "ts", slice_rows)
+    one = e.withColumn("one", F.lit(1).cast("bigint"))
+    slices = F.col("__hl_slice")
+    e = scan_in_buckets(one, [], ["ts", "event_id"], {"seen": ("sum", "one")}, [slices, F.floor(slices / 1000)], inclusive=False)
+    r = F.coalesce("seen", F.lit(0).cast("bigint"))  # events before this one
+    held = r - F.floor(r / 2)  # lines in the queue
+    uid, eid, n = F.col("user_id").cast("string"), F.col("event_id").cast("string"), held.cast("string")
+    header = F.concat(
+        F.sha1(eid), F.lit("\nAuthor: User "), uid, F.lit(" <u"), uid, F.lit(f"@{EVENTS_EMAIL_DOMAIN}>\nDate:   "), log_date(F.col("ts")), F.lit(" +0000\n\n    event\n"),
+    )
+    take = F.concat(F.lit("@@ -"), n, F.lit(" +"), n, F.lit(",0 @@\n-event "), ((r - 1) / 2).cast("bigint").cast("string"), F.lit("\n"))
+    queue = F.concat(
+        F.lit(f"\ndiff --git a/{QUEUE_FILE} b/{QUEUE_FILE}\n"),
+        F.when(r == 0, F.lit("new file mode 100644\n--- /dev/null\n")).otherwise(F.lit(f"--- a/{QUEUE_FILE}\n")),
+        F.lit(f"+++ b/{QUEUE_FILE}\n@@ -0,0 +1 @@\n+event "), r.cast("string"), F.lit("\n"),
+        F.when(r % 2 == 1, take).otherwise(F.lit("")),
+    )
+    note = F.concat(F.lit("notes/"), eid, F.lit(".txt"))
+    small = F.concat(F.lit("diff --git a/"), note, F.lit(" b/"), note, F.lit("\nnew file mode 100644\n--- /dev/null\n+++ b/"), note, F.lit("\n@@ -0,0 +1 @@\n+note\n"))
+    return e.select(F.struct("ts", "event_id").alias("seq"), F.col("__hl_slice").alias("seq_bucket"), F.concat(header, queue, small).alias("text"))
+
+
 def events_alias_map(roster: DataFrame) -> DataFrame:
     """Alias map for the rendered events log: each e-mail maps to its local
     part (``u8@example.org`` -> ``u8``), derived from the roster."""
