@@ -156,7 +156,7 @@ def scan_in_buckets(
     """
     buckets = [buckets] if isinstance(buckets, Column) else list(buckets)
     keys, order = list(keys), list(order)
-    names = [f"{_B}{i}" for i in range(len(buckets))]
+    names = [f"{_B}_{len(buckets)}_{i}" for i in range(len(buckets))]  # unlike those of the scan of totals
     rows = df.withColumns(dict(zip(names, buckets)))
     inside = Window.partitionBy(*keys, names[0]).orderBy(*[F.col(o).asc_nulls_first() for o in order])
     frame = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
