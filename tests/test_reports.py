@@ -1,5 +1,8 @@
 """P1-P8 on the lifecycle table of FIXTURES.md §2.2, both modes."""
 
+import random
+import pytest
+
 import datetime as dt
 
 from fixtures import files, lifecycle, rows
@@ -105,3 +108,32 @@ def test_partition_count_independence(spark):
         assert rows(P.cohort_decay(lc)) == P1_REFERENCE
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
+
+
+@pytest.mark.parametrize("corrected", [False, True])
+def test_file_population_matches_a_loop_over_days_and_files(spark, corrected):
+    rng = random.Random(3)
+    t0 = dt.datetime(2020, 1, 1, 15, 30)
+
+    def at(lo, days):
+        clock = rng.choice([dt.timedelta(0), dt.timedelta(hours=23, minutes=59, seconds=59), dt.timedelta(seconds=rng.randrange(86_400))])
+        return dt.datetime.combine((lo + dt.timedelta(days=rng.randrange(days))).date(), dt.time()) + clock
+
+    table = [(t0, None)]
+    for _ in range(70):
+        a = max(at(t0, 90), t0)
+        table.append((a, rng.choice([None, max(a, at(a, 60))])))
+    start, last = t0, max(x for r in table for x in r if x)
+    d0 = start.date() - dt.timedelta(days=1)
+    want = {}
+    for i in range((last - start).days + 3):
+        day = d0 + dt.timedelta(days=i)
+        stamp = dt.datetime.combine(day, dt.time(23, 59, 59))
+        there = [(stamp - a).days + 1 for a, r in table if a < stamp and (not (r and r < stamp) if corrected else r is None)]
+        gone = [(r - start).days for a, r in table if r and r < stamp]
+        share = lambda ages: [sum(min(max(x * 10 // i, 0), 9) == b if i else b == 0 for x in ages) for b in range(10)]
+        mean = lambda ages: sum(ages) // len(ages) if ages else 0
+        want[str(day)] = (len(there), len(gone), mean(there), mean(gone), *share(there), *share(gone))
+    out = P.file_population(spark.createDataFrame(table, "added timestamp_ntz, removed timestamp_ntz"), corrected=corrected)
+    got = {r["date"]: tuple(r[c] for c in out.columns[3:]) for r in out.collect()}
+    assert got == want
