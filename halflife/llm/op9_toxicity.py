@@ -47,8 +47,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
+from pyspark.sql.types import DoubleType
 
+from halflife.llm import text as T
 from halflife.session import stage
 
 # Small fixed word lists, four languages in a row: English, German, French, Spanish.
@@ -202,6 +203,8 @@ def _count_terms(batches):
                     around = (words[i - 1] if i else "") + " " + (words[i + 1] if i + 1 < len(words) else "")
                     near = 1 << (sum(around.encode()) * 2654435761 >> 7) % 62
                 for term in terms_of(word[:40]):
+                    if term.endswith("$") and len(word) > 40:
+                        continue  # the entry of another, shorter word
                     bits[term] = bits.get(term, 0) | near
             for term, near in bits.items():
                 v = seen.get(term)
@@ -262,7 +265,8 @@ def learn(
     """Fit the grammar on labelled documents (the caller chooses which labels may teach)."""
     # At most max_toxic + max_clean rows of (long, int): a proven bound for the broadcast.
     teach = F.broadcast(_sample(labels, max_toxic, max_clean))
-    sample = docs.select("doc_id", "text").join(teach, "doc_id").select("text", "toxic").dropDuplicates(["text"])
+    # Copies teach once; a text with both labels is toxic.
+    sample = stage(docs.select("doc_id", "text").join(teach, "doc_id").groupBy("text").agg(F.max("toxic").alias("toxic")), "toxic-sample")
     schema = "term string, pos long, neg long, near long"
     counts = sample.mapInArrow(_count_terms, schema).groupBy("term").agg(
         F.sum("pos").alias("pos"), F.sum("neg").alias("neg"), F.bit_count(F.bit_or("near")).alias("near")
@@ -300,7 +304,7 @@ def learn(
 
     def featured(batches):
         for batch in batches:
-            rows = [grammar.features(t) for t in batch.column("text").to_pylist()]
+            rows = [grammar.features(t) for part in _texts(batch.column("text")) for t in part]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column("toxic")], names=["x", "toxic"])
 
     rows = sample.mapInArrow(featured, "x array<double>, toxic int").collect()  # bounded by the sample
@@ -309,19 +313,28 @@ def learn(
     return Grammar(lexicon, threats, [float(v) for v in w[:-1]], float(w[-1]))
 
 
+def _texts(column, rows: int = 200) -> Iterator[list]:
+    """A batch's texts, a few at a time: they are Python strings only while they are read."""
+    for at in range(0, len(column), rows):
+        yield column.slice(at, rows).to_pylist()
+
+
 def score_toxicity(docs: DataFrame, grammar: Grammar, text: str = "text", out: str = "score") -> DataFrame:
-    """``docs`` with the score (0 to 1) of every whole text and predicted (1 if score >= 0.5)."""
-    keep = [f for f in docs.schema.fields if f.name not in (out, "predicted")]
-    names = [f.name for f in keep]
+    """``docs`` with the score (0 to 1) of every whole text and predicted (1 if score >= 0.5).
 
-    def run(batches):
-        for batch in batches:
-            scores = np.array([grammar.score(t) for t in batch.column(text).to_pylist()], dtype=np.float64)
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(c) for c in names], pa.array(scores), pa.array((scores >= 0.5).astype(np.int32))], names=[*names, out, "predicted"]
-            )
+    Only texts go to the Python workers and only scores come back.
+    """
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in batches:
+            scores = [grammar.score(t) for part in _texts(column) for t in part]
+            del column
+            T.trim()
+            yield pa.array(scores, pa.float64())
 
-    return docs.mapInArrow(run, StructType([*keep, StructField(out, DoubleType()), StructField("predicted", IntegerType())]))
+    score = F.arrow_udf(run, DoubleType())
+    keep = [c for c in docs.columns if c not in (out, "predicted")]
+    return docs.select(*keep, score(F.col(text)).alias(out)).withColumn("predicted", (F.col(out) >= 0.5).cast("int"))
 
 
 def held_out(doc_id="doc_id"):
