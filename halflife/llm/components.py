@@ -35,16 +35,38 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v and no v is a u: then each v is the root of its component."""
+    ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("below")), F.struct(F.col("v").alias("x"), F.lit(0).alias("below")))).alias("e"))
+    seen = ends.groupBy("e.x").agg(F.sum("e.below").alias("below"), F.min("e.below").alias("least"))
+    return seen.where("below > 1 or (below = 1 and least = 0)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """(u, v) -> (node, root): the least node of each component, for every non-root node.
 
     A node that appears in no edge, or is the root itself, has no row.
     """
     edges = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc-edges")
-    state = None
-    while True:
+    while not _is_stars(edges):
         edges = stage(_small_star(_large_star(edges)), "cc-edges")
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == state:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        state = now
+    return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def between(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Links (u, v) as links of roots, without those inside a component."""
+    if component is None:
+        return links.where("u <> v")
+    root = lambda x: component.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
+    ends = links.join(root("u"), "u", "left").join(root("v"), "v", "left")
+    return ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v")).where("u <> v")
+
+
+def join_components(component: DataFrame | None, links: DataFrame) -> DataFrame:
+    """The components (node, root), or None, after links (u, v) are added; only roots are worked on."""
+    joined = connected_components(between(component, links))
+    if component is None:
+        return joined
+    moved = joined.select(F.col("node").alias("root"), F.col("root").alias("to"))
+    old = component.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return stage(old.unionByName(joined), "cc-roots")

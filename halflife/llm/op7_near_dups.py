@@ -2,8 +2,8 @@
 
 1. *Sets.*  A document's set is its distinct 5-word shingles (A-Z lower-cased); with
    fewer words the whole sequence is one shingle; without words it is empty and
-   linked with nothing.  Documents of equal sets are one *class* from here on, named
-   by their smallest id, so a group of exact copies costs one row.
+   linked with nothing.  Documents of equal sets are one *class* from here on, under a
+   number of its own, so a group of exact copies costs one row.
 2. *Signature.*  One hash of every shingle; its high part is a bin, the least hash
    in a bin is the bin's value.  An empty bin takes the value of the first
    non-empty bin of its own random probe sequence (optimal densification).
@@ -13,16 +13,16 @@
 4. *Stars.*  A bucket proposes edges from a centre to its other members, never all
    pairs.  Each proposed edge is confirmed on the full sets.  After that, buckets
    whose members are still in several components choose a new centre and propose
-   edges to the members of other components, round by round, until a round (past
-   the third) confirms nothing new.  Buckets that are one component propose
-   nothing, so the work shrinks with every round.
+   edges to the members of other components, for ``rounds`` rounds or until one
+   confirms nothing.  Buckets that are one component propose nothing, and a round's
+   links only join the components that the rounds before it made.
 5. *Exact finish.*  Buckets of three or more that are still in several components hold
    pairs that no centre has tested.  Their members order their shingles by rarity
    among themselves; two sets that are similar enough share one of the first
    n - (least overlap) + 1 of both.  All such pairs of different components are
    confirmed like other edges.  What many members have in common stands last in that
    order, so a family with common boilerplate is not paired all with all.
-6. *Components* of the confirmed links (alternating stars); the smallest id stays.
+6. *Components* of the confirmed links (alternating stars); the smallest id names them.
 
 What can be lost: a pair that shares no band (above).
 No bucket is capped and nothing is sampled.
@@ -34,8 +34,9 @@ once, for classes that share a bucket, and per proposed edge once more.
 
 Edge cases: null text is the empty text.  Rows with a null id are linked like others
 (under a number of their text's hash, above all ids); if no id is known in a
-component, component_id is null and the row is kept.  Repeated rows are in one class; rows of one id with different
-texts are judged row by row.  An empty table gives an empty result.  Other columns
+component, component_id is null and kept is true (``drop_near_duplicates`` keeps one).  Repeated
+rows are in one class; rows of one id with different texts are linked row by row, each by its
+own text.  An empty table gives an empty result.  Other columns
 are not read.
 """
 
@@ -47,7 +48,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from halflife.llm import text as T
-from halflife.llm.components import connected_components
+from halflife.llm.components import between, join_components
 from halflife.session import stage
 
 NAMELESS = 1 << 62  # rows without an id are numbered from here on
@@ -195,24 +196,27 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) ->
     return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("c")).distinct()
 
 
-def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int = 5, percent: int = 75) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text)."""
+def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int = 5, percent: int = 75, rounds: int = 3) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept for every row of ``docs`` (doc_id, text); th is the text's hash, and
+    first is true for one text of each component: the one that stays."""
     th = F.xxhash64("text")
-    node = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NAMELESS) + F.pmod(th, F.lit(NAMELESS // 2)))
-    read = docs.select(node.alias("doc_id"), "text", th.alias("th"))
+    number = F.coalesce(F.col("doc_id").cast("bigint"), F.lit(NAMELESS) + F.pmod(th, F.lit(NAMELESS // 2)))
+    read = docs.select(number.alias("doc_id"), "text", th.alias("th"))
     signed = stage(read.mapInArrow(_signatures(bands, rows, size), SIGNATURE), "near-signatures")
     key = ["k1", "k2", "n_shingles"]
     classes = (
         signed.where("n_shingles > 0")
         .groupBy(*key)
-        .agg(F.min(F.struct("doc_id", "th")).alias("r"), F.any_value("bands").alias("bands"))
-        .select(*key, F.col("r.doc_id").alias("rep"), F.col("r.th").alias("th"), "bands")
+        .agg(F.min(F.struct("doc_id", "th")).alias("own"), F.any_value("bands").alias("bands"))
+        # A class has a number of its own: an id with two texts may lead two classes.
+        .withColumn("rep", F.monotonically_increasing_id())
     )
     classes = stage(classes, "near-classes")
-    in_band = classes.select("rep", "th", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
+    in_band = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
     shared = in_band.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1").select("bucket")
     members = stage(in_band.join(shared, "bucket"), "near-members")
-    texts = stage(read.join(members.select(F.col("rep").alias("doc_id"), "th").distinct(), ["doc_id", "th"], "inner").select(F.col("doc_id").alias("rep"), "text").dropDuplicates(["rep"]), "near-texts")
+    heads = classes.join(members.select("rep").distinct(), "rep").select("rep", "own.doc_id", "own.th")
+    texts = stage(read.join(heads, ["doc_id", "th"]).select("rep", "text").dropDuplicates(["rep"]), "near-texts")
 
     def propose(at: DataFrame, turn: int) -> DataFrame:
         """Edges from each bucket's centre of this round to members of other components."""
@@ -232,64 +236,59 @@ def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int =
             return members.withColumn("comp", F.col("rep"))
         return members.join(component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
 
-    def components(links: DataFrame) -> DataFrame:
-        return connected_components(links.select(F.col("a").alias("u"), F.col("c").alias("v")))
-
-    links, tested, component, turn = None, None, None, 0
-    while True:
+    # The state is (node, root); a round's new links are few, and only they are worked on.
+    tested, component = None, None
+    for turn in range(rounds):
         edges = propose(placed(component), turn)
         if tested is not None:
             edges = edges.join(tested, ["a", "c"], "left_anti")
         edges = stage(edges, "near-edges")
-        found = confirmed(edges)
-        new = found.agg(F.count(F.lit(1))).first()[0]
         tested = edges if tested is None else tested.unionByName(edges)
-        links = found if links is None else links.unionByName(found)
-        if new:
-            component = components(links)
-        turn += 1
-        if not new and (turn >= 3 or component is None):
+        found = confirmed(edges)
+        if found.isEmpty():
             break
+        component = join_components(component, found.select(F.col("a").alias("u"), F.col("c").alias("v")))
     # Two members were tested against each other when one was the centre.
     at = placed(component)
     open_buckets = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
     left = stage(at.join(open_buckets.select("bucket"), "bucket").select("rep", "comp", "n").distinct(), "near-left")
-    if left.limit(1).count():
+    if not left.isEmpty():
         found = confirmed(stage(_prefix_pairs(left, texts, size, percent).join(tested, ["a", "c"], "left_anti"), "near-edges"))
         # A family that is linked all with all needs few of its links: each node's least one, then those between the
         # components that makes, until none is left.
-        while found.limit(1).count():
-            least = stage(found.groupBy("a").agg(F.min("c").alias("c")).select("a", "c"), "near-links")
-            links = least if links is None else links.unionByName(least)
-            component = components(links)
-            root = lambda x: component.select(F.col("node").alias(x), F.col("root").alias(f"{x}_root"))
-            ends = found.join(root("a"), "a", "left").join(root("c"), "c", "left").select(F.coalesce("a_root", "a").alias("u"), F.coalesce("c_root", "c").alias("v"))
-            found = stage(ends.where("u <> v").select(F.greatest("u", "v").alias("a"), F.least("u", "v").alias("c")).distinct(), "near-links")
-    of_class = classes.select(*key, "rep")
-    if component is not None:
-        of_class = of_class.join(component, F.col("rep") == F.col("node"), "left").select(*key, F.coalesce("root", "rep").alias("component"))
+        found = found.select(F.col("a").alias("u"), F.col("c").alias("v"))
+        while not found.isEmpty():
+            component = join_components(component, found.groupBy("u").agg(F.min("v").alias("v")))
+            found = stage(between(component, found).distinct(), "near-links")
+    of_class = classes.select(*key, "rep", "own")
+    if component is None:
+        of_class = of_class.select(*key, F.col("own").alias("least"))
     else:
-        of_class = of_class.withColumnRenamed("rep", "component")
+        tied = component.unionByName(component.select(F.col("root").alias("node"), "root").distinct())
+        named = of_class.select(F.col("rep").alias("node"), "own").join(tied, "node")
+        least = tied.join(named.groupBy("root").agg(F.min("own").alias("least")), "root").select(F.col("node").alias("rep"), "least")
+        of_class = of_class.join(least, "rep", "left").select(*key, F.coalesce("least", "own").alias("least"))
     out = signed.drop("bands").join(of_class, key, "left")
-    component_id = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id"))
+    least = F.coalesce("least", F.struct("doc_id", "th"))
     known = lambda c: F.when(c < NAMELESS, c)
-    out = out.select(known(F.col("doc_id")).alias("doc_id"), "th", "n_shingles", known(component_id).alias("component_id"))
+    out = out.select(known(F.col("doc_id")).alias("doc_id"), "th", "n_shingles", known(least["doc_id"]).alias("component_id"), (F.struct("doc_id", "th") == least).alias("first"))
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: ``docs`` without rows whose component has a smaller id.
+    """One document of each group: of its rows the one with the smallest id (with no id known, and
+    between texts of one id, the one with the smallest text hash).
 
     Rows equal in id and text are copies of each other; one of them stays.
     """
-    found = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
+    found = near_duplicates(docs, **options).where("first").select(F.col("doc_id").alias("__id"), F.col("th").alias("__th")).distinct()
     named = docs.withColumn("__key", F.xxhash64("text"))
     kept = named.join(found, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__key") == F.col("__th")), "left_semi")
     return kept.dropDuplicates(["doc_id", "__key"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th")
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("th", "first")
 
 
 ORACLE = r"""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from halflife.llm import exchange as X
 from halflife.llm import op1_passages, op2_lines, op6_suffixes, op7_near_dups
-from halflife.llm.components import connected_components
+from halflife.llm.components import connected_components, join_components
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 BIG = 1 << 62
@@ -146,7 +146,7 @@ def near(rows, percent=75):
 
 
 def test_near_duplicates(docs, rows):
-    assert plain(op7_near_dups.near_duplicates(docs).drop("th")) == near(rows)
+    assert plain(op7_near_dups.near_duplicates(docs).drop("th", "first")) == near(rows)
 
 
 @pytest.mark.parametrize("pairs", [0, 15])
@@ -159,7 +159,7 @@ def test_near_duplicates_in_a_family_with_common_boilerplate(spark, pairs):
         for side in (0, 1):
             texts.append(common + own(f"{k}_{side}", 95) + own(f"both{k}", 7))
     rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
-    got = plain(op7_near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("th"))
+    got = plain(op7_near_dups.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).drop("th", "first"))
     assert got == near(rows) and sum(n for r, n in got.items() if not r[3]) == pairs
 
 
@@ -171,6 +171,40 @@ def test_drop_near_duplicates(extra):
     assert ids == [1, 3, 4, 5, 6, 8, 9, 10, 11, 13, 14, 15, 18]
 
 
+def test_an_id_with_two_texts_links_by_each_of_them(spark):
+    a, b = " ".join(f"a{i}" for i in range(200)), " ".join(f"b{i}" for i in range(200))
+    rows = [(1, a + " p"), (1, b + " p"), (5, a + " q"), (6, b + " q"), (None, "of nobody one two three"), (None, "Of nobody one two three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert plain(op7_near_dups.near_duplicates(docs).drop("th", "first")) == near(rows)
+    left = [r["doc_id"] for r in op7_near_dups.drop_near_duplicates(docs).collect()]
+    assert Counter(left) == Counter([1, 1, None])  # both texts of 1, one of the two rows without an id
+
+
+def test_near_duplicates_do_not_depend_on_the_rounds(docs, rows):
+    assert plain(op7_near_dups.near_duplicates(docs, rounds=1).drop("th", "first")) == near(rows)
+
+
+def test_components_grow_by_links(spark):
+    import random
+
+    rng = random.Random(5)
+    root = list(range(300))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    state = None
+    for _ in range(4):
+        links = [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+        for u, v in links:
+            x, y = sorted((find(u), find(v)))
+            root[y] = x
+        state = join_components(state, spark.createDataFrame(links, "u long, v long"))
+        assert {r["node"]: r["root"] for r in state.collect()} == {i: find(i) for i in range(300) if find(i) != i}
+
+
 def test_densified_signatures_estimate_similarity():
     import numpy as np
 

@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 
 def test_every_operator_is_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in registry.MODULES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in registry.MODULES) == list(range(1, 14))
     assert "pipeline" in E.queries() and set(registry.oracle_sql()) <= set(E.oracle_sql())
 
 
