@@ -13,8 +13,8 @@
 4. *Stars.*  A bucket proposes edges from a centre to its other members, never all
    pairs.  Each proposed edge is confirmed on the full sets.  After that, buckets
    whose members are still in several components choose a new centre and propose
-   edges to the members of other components, for ``rounds`` rounds or until one
-   confirms nothing.  Buckets that are one component propose nothing, and a round's
+   edges to the members of other components, until a round (the third or a later one)
+   confirms nothing; what is left to the exact finish then is little.  Buckets that are one component propose nothing, and a round's
    links only join the components that the rounds before it made.
 5. *Exact finish.*  Buckets of three or more that are still in several components hold
    pairs that no centre has tested.  Their members order their shingles by rarity
@@ -184,15 +184,21 @@ def _prefix_pairs(left: DataFrame, texts: DataFrame, size: int, percent: int) ->
     placed = met.join(left, "rep").select("rep", "comp", "n", F.size("met").alias("size"), F.posexplode("met").alias("at", "m"))
     prefix = placed.withColumn("reach", 100 * F.col("n") - (100 + percent) * before).where(100 * F.col("reach") >= percent * percent * F.col("n"))
     prefix = stage(prefix.select("rep", "comp", "n", "reach", F.col("m.shingle").alias("shingle")), "near-prefixes")
-    # By way of the components that meet: members of one component are not paired first and dropped then.
-    groups = prefix.groupBy("shingle", "comp").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    # By way of the components that meet, each cut into cells of about equal size and reach: members of one component
+    # are not paired first and dropped then, and of two large components only the cells that can be similar enough meet.
+    cell = F.floor(F.log("n") * 8) * 16 + F.floor((F.col("reach") / F.col("n") - percent * percent / 100) / 4)
+    prefix = prefix.withColumn("cell", cell)
+    groups = prefix.groupBy("shingle", "comp", "cell").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
 
     def side(table: DataFrame, s: str) -> DataFrame:
         return table.select("shingle", *[F.col(c).alias(f"{s}_{c}") for c in table.columns if c != "shingle"])
 
     fits = (F.col("x_reach") >= percent * F.col("y_n")) & (F.col("y_reach") >= percent * F.col("x_n"))
-    both = side(groups, "x").join(side(groups, "y"), "shingle").where(fits & (F.col("x_comp") < F.col("y_comp"))).select("shingle", "x_comp", "y_comp")
-    pairs = both.join(side(prefix, "x"), ["shingle", "x_comp"]).join(side(prefix, "y"), ["shingle", "y_comp"]).where(fits)
+    both = side(groups, "x").join(side(groups, "y"), "shingle").where(fits & (F.col("x_comp") < F.col("y_comp")))
+    both = both.select("shingle", "x_comp", "x_cell", "y_comp", "y_cell", F.col("y_n").alias("least_n"), F.col("y_reach").alias("most_reach"))
+    half = both.join(side(prefix, "x"), ["shingle", "x_comp", "x_cell"])
+    half = half.where((F.col("x_reach") >= percent * F.col("least_n")) & (F.col("most_reach") >= percent * F.col("x_n"))).drop("least_n", "most_reach")
+    pairs = half.join(side(prefix, "y"), ["shingle", "y_comp", "y_cell"]).where(fits)
     return pairs.select(F.greatest("x_rep", "y_rep").alias("a"), F.least("x_rep", "y_rep").alias("c")).distinct()
 
 
@@ -237,17 +243,19 @@ def near_duplicates(docs: DataFrame, bands: int = 40, rows: int = 5, size: int =
         return members.join(component, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("root", "rep")).drop("node", "root")
 
     # The state is (node, root); a round's new links are few, and only they are worked on.
-    tested, component = None, None
-    for turn in range(rounds):
+    tested, component, turn = None, None, 0
+    while True:
         edges = propose(placed(component), turn)
         if tested is not None:
             edges = edges.join(tested, ["a", "c"], "left_anti")
         edges = stage(edges, "near-edges")
         tested = edges if tested is None else tested.unionByName(edges)
         found = confirmed(edges)
-        if found.isEmpty():
+        turn += 1
+        if not found.isEmpty():
+            component = join_components(component, found.select(F.col("a").alias("u"), F.col("c").alias("v")))
+        elif component is None or turn >= rounds:
             break
-        component = join_components(component, found.select(F.col("a").alias("u"), F.col("c").alias("v")))
     # Two members were tested against each other when one was the centre.
     at = placed(component)
     open_buckets = at.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("m > 2 and lo <> hi")
