@@ -353,6 +353,53 @@ def _q_active_lines_stream(spark, d):
     return spark.read.parquet(f"{root}/out/active_lines")
 
 
+def _orders_summary(spark, d):
+    """Day states and creation times of all order lines, written once per state of the tables."""
+    import uuid
+
+    from halflife.session import ensure_checkpoint_dir, remember_staged, staged_path
+
+    key = B.tables_key(spark, d, B.ORDER_TABLES)
+    path = staged_path(spark, "orders_summary", key)
+    if path:
+        return P.read_summary(spark, path)
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/tables/orders_summary-{uuid.uuid4().hex}"
+    summary = P.write_summary(B.orders_life(spark, d), path, {"java": "%.java"})
+    remember_staged(spark, "orders_summary", key, path)
+    return summary
+
+
+def _from_summary(report, **options):
+    """A report read from the summary instead of the lines."""
+    return lambda spark, d: _rounded(getattr(P.LineSummary, report)(_orders_summary(spark, d), **options))
+
+
+def _people_bitmaps(spark, d):
+    """Weekly person bitmaps of the order lines in two arrivals, older lines first, merged."""
+    from halflife.session import stage
+
+    life = B.orders_life(spark, d)
+    cut = life.agg(F.percentile_approx("created", 0.5)).scalar()
+    late = F.coalesce(F.col("created") >= cut, F.lit(False))
+    numbers, maps = None, []
+    for part in (life.where(~late), life.where(late)):
+        weeks = stage(P.people_weeks(part), "people_weeks")
+        numbers = stage(P.number_people(weeks, numbers), "people_numbers")
+        maps.append(P.week_bitmaps(weeks, numbers))
+    return P.merge_bitmaps(*maps)
+
+
+def _q_active_people_bitmaps(spark, d):
+    """P4 corrected from merged bitmaps."""
+    week = (F.floor(F.col("week") / 100) % 100 * 100 + F.col("week") % 100).cast("int")
+    return P.distinct_people(_people_bitmaps(spark, d), week, "week")
+
+
+def _q_active_people_years(spark, d):
+    """Distinct persons per year: the same weekly bitmaps, united by year."""
+    return P.distinct_people(_people_bitmaps(spark, d), F.floor(F.col("week") / 100).cast("int"), "year")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     q = {
         "clean_int": _q_clean_int,
@@ -403,6 +450,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "author_rates_log": _q_author_rates_log,
         "file_population_log": _q_file_population_log,
         "active_lines_stream": _q_active_lines_stream,
+        "cohort_decay_summary": _from_summary("cohort_decay"),
+        "weekly_decay_summary": _from_summary("weekly_decay"),
+        "active_lines_summary": _from_summary("active_lines"),
+        "active_people_summary": _from_summary("active_people", corrected=True),
+        "author_decay_summary": _from_summary("author_decay", path_class="java", as_of=AS_OF),
+        "author_rates_summary": _from_summary("author_change_rates"),
+        "active_people_bitmaps": _q_active_people_bitmaps,
+        "active_people_years": _q_active_people_years,
     }
     return q | (LLM.queries() if LLM else {})
 
@@ -946,4 +1001,17 @@ FROM b""",
         "author_rates_log": _p6_sql(_EVENTS, False),
         "file_population_log": _p7_sql(False, _LOG_FILES),
         "active_lines_stream": _p3_corrected_sql(_ORDERS),
+        "cohort_decay_summary": _p1_sql(_ORDERS) + _p1_select("carried", "r.decay_rate"),
+        "weekly_decay_summary": _p2_sql(_ORDERS),
+        "active_lines_summary": _p3_sql(_ORDERS),
+        "active_people_summary": _p4_sql(_ORDERS, True),
+        "author_decay_summary": _p5_sql(_ORDERS),
+        "author_rates_summary": _p6_sql(_ORDERS, False),
+        "active_people_bitmaps": _p4_sql(_ORDERS, True),
+        "active_people_years": _ORDERS + """,
+people AS (
+  SELECT creator AS person, year(created) AS year FROM life UNION ALL SELECT remover, year(removed) FROM life
+)
+SELECT CAST(year AS INTEGER) AS year, count(DISTINCT person) AS active_people FROM people
+WHERE year IS NOT NULL AND person IS NOT NULL GROUP BY 1""",
     }

@@ -12,29 +12,31 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from halflife.functions.scalars import cohort_id, cohort_sort_key
+from halflife.plans.cohort import line_count
 
 P3_COLUMNS = ["week", "lines_created", "running_created", "lines_removed", "running_removed", "active_lines"]
 
 
-def _weekly(df: DataFrame, ts: str, count_name: str, run_name: str) -> DataFrame:
+def _weekly(df: DataFrame, ts: str, count_name: str, run_name: str, weight: str | None) -> DataFrame:
     counts = (
-        df.select(cohort_id(F.to_date(ts)).alias("week"))
+        df.select(cohort_id(F.to_date(ts)).alias("week"), *([weight] if weight else []))
         .where(F.col("week") != -1)
         .groupBy("week")
-        .agg(F.count(F.lit(1)).alias(count_name))
+        .agg(line_count(weight).alias(count_name))
     )
     # Default RANGE frame of an ordered window, as in the reference.
     return counts.withColumn(run_name, F.sum(count_name).over(Window.orderBy("week")))
 
 
-def active_lines(df: DataFrame, corrected: bool = False) -> DataFrame:
+def active_lines(df: DataFrame, corrected: bool = False, weight: str | None = None) -> DataFrame:
     """P3.  Reference mode: created weeks LEFT JOIN removed weeks, so weeks with
     removals only are lost and weeks without removals have null active_lines.
     Corrected: every week with an event, totals carried, nulls as 0, weeks in
-    calendar order (year * 100 + week)."""
+    calendar order (year * 100 + week).  ``weight``: column with the number of lines
+    that a row stands for."""
     if not corrected:
-        created = _weekly(df, "created", "lines_created", "running_created")
-        removed = _weekly(df, "removed", "lines_removed", "running_removed")
+        created = _weekly(df, "created", "lines_created", "running_created", weight)
+        removed = _weekly(df, "removed", "lines_removed", "running_removed", weight)
         out = created.join(removed, "week", "left").withColumn(
             "active_lines", F.col("running_created") - F.col("running_removed")
         )
@@ -42,10 +44,10 @@ def active_lines(df: DataFrame, corrected: bool = False) -> DataFrame:
 
     def counts(ts, name):
         return (
-            df.select(cohort_sort_key(F.to_date(ts)).alias("week_key"))
+            df.select(cohort_sort_key(F.to_date(ts)).alias("week_key"), *([weight] if weight else []))
             .where(F.col("week_key") != -1)
             .groupBy("week_key")
-            .agg(F.count(F.lit(1)).alias(name))
+            .agg(line_count(weight).alias(name))
         )
 
     both = counts("created", "lines_created").join(counts("removed", "lines_removed"), "week_key", "full")

@@ -8,6 +8,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from halflife.plans.cohort import line_count
+
 P5_COLUMNS = [
     "creator",
     "lines_created",
@@ -43,11 +45,15 @@ def author_decay(
     path_like: str | None = None,
     exclude: Iterable[str] = (),
     as_of=None,
+    weight: str | None = None,
 ) -> DataFrame:
     """P5 over all lines, or those whose path is LIKE ``path_like``: one conditional aggregate per creator (instead of five aggregates and
     four outer joins).  Counts absent in the reference's outer joins are null,
     not 0.  The live-line total is a scalar subquery, not a
-    driver action.  ``as_of`` defaults to ``current_date()``."""
+    driver action.  ``as_of`` defaults to ``current_date()``.
+
+    A row may stand for ``weight`` lines; it then carries ``lifespan_sum`` and
+    ``lifespan_n`` (sum and number of their known lifespans)."""
     rows = df
     if path_like is not None:
         rows = rows.where(F.col("path").like(path_like))
@@ -55,19 +61,29 @@ def author_decay(
     exclude = list(exclude)
     if exclude:
         rows = rows.where(~F.col("creator").isin(exclude))
-    rows = rows.select("creator", "remover", "created", "removed", "lifespan")
+    spans = ["lifespan"] if weight is None else [weight, "lifespan_sum", "lifespan_n"]
+    rows = rows.select("creator", "remover", "created", "removed", *spans)
+
+    def lines_where(condition):
+        if weight is None:
+            return F.count_if(condition)
+        return F.coalesce(F.sum(F.when(condition, F.col(weight))), F.lit(0)).cast("bigint")
 
+    if weight is None:
+        avg_lifespan = F.avg("lifespan")
+    else:
+        avg_lifespan = F.try_divide(F.sum("lifespan_sum").cast("double"), F.sum("lifespan_n"))
     removed = F.col("removed").isNotNull()
     per = rows.groupBy("creator").agg(
-        F.count(F.lit(1)).alias("lines_created"),
-        _nonzero(F.count_if(removed)).alias("lines_removed"),
+        line_count(weight).alias("lines_created"),
+        _nonzero(lines_where(removed)).alias("lines_removed"),
         F.to_date(F.min("created")).alias("author_first"),
         F.to_date(F.max("created")).alias("author_last"),
-        F.avg("lifespan").alias("avg_lifespan"),
-        _nonzero(F.count_if(removed & (F.col("remover") == F.col("creator")))).alias("lines_removed_by_author"),
-        _nonzero(F.count_if(~removed)).alias("lines_active"),
+        avg_lifespan.alias("avg_lifespan"),
+        _nonzero(lines_where(removed & (F.col("remover") == F.col("creator")))).alias("lines_removed_by_author"),
+        _nonzero(lines_where(~removed)).alias("lines_active"),
     )
-    total = rows.agg(F.count_if(F.col("removed").isNull())).scalar()  # live lines, one subquery
+    total = rows.agg(lines_where(~removed)).scalar()  # live lines, one subquery
     day = _as_of(as_of)
     out = per.select(
         *[c for c in per.columns],
@@ -85,28 +101,30 @@ def author_decay(
     return out.select(*P5_COLUMNS).orderBy(F.col("pct_removed").asc_nulls_first(), "creator")
 
 
-def author_change_rates(df: DataFrame, corrected: bool = False) -> DataFrame:
+def author_change_rates(df: DataFrame, corrected: bool = False, weight: str | None = None) -> DataFrame:
     """Lines added and removed per (day, author).
 
     Reference mode counts as added only lines still alive (a line added and
     later removed shows up only as removed); corrected counts every creation.
     Input may carry ``file_removed``; lines of removed files are all closed, so
-    'alive' is simply ``removed IS NULL``.
+    'alive' is simply ``removed IS NULL``.  ``weight``: column with the number of lines
+    that a row stands for.
     """
+    lines, none = (F.lit(1) if weight is None else F.col(weight)).cast("bigint"), F.lit(0).cast("bigint")
     adds = df.where(F.col("created").isNotNull())
     if not corrected:
         adds = adds.where(F.col("removed").isNull())
     added = adds.select(
         F.to_date("created").alias("date"), F.col("creator").alias("author"),
-        F.lit(1).alias("a"), F.lit(0).alias("r"),
+        lines.alias("a"), none.alias("r"),
     )
     gone = df.where(F.col("removed").isNotNull()).select(
         F.to_date("removed").alias("date"), F.col("remover").alias("author"),
-        F.lit(0).alias("a"), F.lit(1).alias("r"),
+        none.alias("a"), lines.alias("r"),
     )
     return (
         added.unionByName(gone)
         .groupBy("date", "author")
-        .agg(F.sum("a").cast("bigint").alias("lines_added"), F.sum("r").cast("bigint").alias("lines_removed"))
+        .agg(F.sum("a").alias("lines_added"), F.sum("r").alias("lines_removed"))
         .orderBy("date", "author")
     )

@@ -16,11 +16,15 @@ Plan (reference mode, the default):
 
 ``corrected=True`` counts living lines in the total only, leaves the rate null
 when everything is lost and reports every cohort in P2.
+
+A row may stand for several lines (the day states of ``plans/summary``): ``weight``
+then names the column with their number, ``lifespan`` is their greatest, and ``times``
+is the table with their creation times.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -65,10 +69,15 @@ def creation_gaps(df: DataFrame) -> DataFrame:
     )
 
 
-def cohort_pairs(df: DataFrame) -> DataFrame:
+def line_count(weight: str | None) -> Column:
+    """Lines of a group: its rows, or the sum of their ``weight``."""
+    return F.count(F.lit(1)) if weight is None else F.sum(weight).cast("bigint")
+
+
+def cohort_pairs(df: DataFrame, weight: str | None = None) -> DataFrame:
     """Lines and max lifespan per (create_cohort, remove_cohort)."""
     return with_cohorts(df).groupBy("create_cohort", "remove_cohort").agg(
-        F.count(F.lit(1)).alias("removed_in_this_cohort"),
+        line_count(weight).alias("removed_in_this_cohort"),
         F.max("lifespan").alias("lifespan"),
     )
 
@@ -86,21 +95,20 @@ def _raw_rate(total, lost, lifespan):
     return F.when(lost < total, F.ln(ratio) / F.greatest(lifespan, F.lit(1)).cast("double") * 100000.0)
 
 
-def _decay_rows(df: DataFrame, corrected: bool) -> DataFrame:
-    lines = with_cohorts(df).select("create_cohort", "remove_cohort", "lifespan")
+def _decay_rows(df: DataFrame, corrected: bool, weight: str | None, times: DataFrame | None) -> DataFrame:
+    lines = with_cohorts(df).select("create_cohort", "remove_cohort", "lifespan", *([weight] if weight else []))
+    counted = (line_count(weight).alias("removed_in_this_cohort"), F.max("lifespan").alias("lifespan"))
     if corrected:
         lines = lines.where(F.col("create_cohort") != -1)
-        totals = lines.groupBy("create_cohort").agg(F.count(F.lit(1)).alias("total_in_cohort"))
+        totals = lines.groupBy("create_cohort").agg(line_count(weight).alias("total_in_cohort"))
         pairs = (
             lines.where(F.col("remove_cohort") != -1)
             .groupBy("create_cohort", "remove_cohort")
-            .agg(F.count(F.lit(1)).alias("removed_in_this_cohort"), F.max("lifespan").alias("lifespan"))
+            .agg(*counted)
             .join(totals, "create_cohort")
         )
     else:
-        pairs = lines.groupBy("create_cohort", "remove_cohort").agg(
-            F.count(F.lit(1)).alias("removed_in_this_cohort"), F.max("lifespan").alias("lifespan")
-        )
+        pairs = lines.groupBy("create_cohort", "remove_cohort").agg(*counted)
         pairs = pairs.withColumn(
             "total_in_cohort", F.sum("removed_in_this_cohort").over(Window.partitionBy("create_cohort"))
         )
@@ -116,7 +124,7 @@ def _decay_rows(df: DataFrame, corrected: bool) -> DataFrame:
         "pct_sliding_decay", F.col("removed_in_this_cohort").cast("double") / total.cast("double") * 100.0
     ).withColumn("pct_total_decay", lost.cast("double") / total.cast("double") * 100.0)
     out = out.withColumn("raw_rate", _raw_rate(total, lost, F.col("lifespan")))
-    return out.join(_avg_gaps(df), "create_cohort", "left")
+    return out.join(_avg_gaps(df if times is None else times), "create_cohort", "left")
 
 
 def _carried(rows: DataFrame) -> DataFrame:
@@ -142,9 +150,11 @@ def _carried(rows: DataFrame) -> DataFrame:
     return rows.withColumn("decay_rate", F.coalesce(F.col("__in_rate"), F.col("__carry")))
 
 
-def cohort_decay(df: DataFrame, corrected: bool = False) -> DataFrame:
+def cohort_decay(
+    df: DataFrame, corrected: bool = False, weight: str | None = None, times: DataFrame | None = None
+) -> DataFrame:
     """P1 on a typed lifecycle table (created/removed timestamps, lifespan int)."""
-    rows = _decay_rows(df, corrected)
+    rows = _decay_rows(df, corrected, weight, times)
     if corrected:
         rows = rows.withColumn("decay_rate", F.col("raw_rate"))
     else:
@@ -152,12 +162,14 @@ def cohort_decay(df: DataFrame, corrected: bool = False) -> DataFrame:
     return rows.select(*P1_COLUMNS).orderBy("create_cohort", "lifespan", "remove_cohort")
 
 
-def weekly_decay(df: DataFrame, corrected: bool = False) -> DataFrame:
+def weekly_decay(
+    df: DataFrame, corrected: bool = False, weight: str | None = None, times: DataFrame | None = None
+) -> DataFrame:
     """Rate at the end of each creation cohort; columns decay_rate, week.
 
     Reference mode leaves out the greatest cohort (never flushed).
     """
-    rows = _decay_rows(df, corrected)
+    rows = _decay_rows(df, corrected, weight, times)
     if corrected:
         weeks = (
             with_cohorts(df)
