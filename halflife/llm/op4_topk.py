@@ -5,10 +5,12 @@ Vectors are compared as integers floor(scale * x).  Method:
 1. *Buckets.*  Candidates are grouped by length (norm classes of ratio ``ratio``); a
    class with many vectors is dealt by hash into buckets of about ``bucket_rows``.
    A bucket is one packed matrix, longest vectors first.
-2. *Seed thresholds.*  Each query block meets one bucket of the longest class; a
-   query's k-th best score there is a lower bound of its final k-th score.
+2. *Seed thresholds.*  Each query block meets buckets of the longest classes, as many
+   as it takes to hold one bucket's worth of vectors (k + 1 at least); a query's k-th best score there is a lower bound of
+   its final k-th score.  These meetings count: seed buckets are not met again.
 3. *Pruning.*  A bucket is not sent to a query block at all if length alone shows
-   that nothing in it reaches any of the block's bounds.  Where they meet, each query
+   that nothing in it reaches any of the block's bounds; this is settled on a table
+   of lengths and bounds before any matrix moves.  Where they meet, each query
    has a local cosine threshold t = bound / (|q| * longest in the bucket).  Above 1 the
    bucket is skipped.  From ``coordinate_at`` on, coordinate pruning looks at the
    query's largest coordinates: a unit vector with cosine >= t can only lie between
@@ -114,8 +116,12 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -scores[some]))[:k]]
 
 
-def meet(query, bucket, k: int, coordinate_at: float, focus: int):
-    """(query id, ids, scores) of the best k of a bucket for each query that it can still serve."""
+def meet(query, bucket, k: int, coordinate_at: float, focus: int, counted=None):
+    """(query id, ids, scores) of the best k of a bucket for each query that it can still serve.
+
+    ``counted``: called with the number of products of each step.
+    """
+    counted = counted or (lambda n: None)
     q_ids, q_norms, q, (bounds,) = query
     p_ids, p_norms, p, _ = bucket
     longest = p_norms[0] if len(p_norms) else 0.0
@@ -132,12 +138,15 @@ def meet(query, bucket, k: int, coordinate_at: float, focus: int):
         top = _best(p_ids[rows], scores, k)
         return q_ids[i], p_ids[rows][top], scores[top]
 
+    need = np.where(q_norms > 0, bounds / np.maximum(q_norms, 1e-300), -np.inf)
     length_rows = np.flatnonzero(by_length)
+    length_rows = length_rows[np.argsort(-need[length_rows], kind="stable")]
     for at in range(0, len(length_rows), 64):
         some = length_rows[at : at + 64]
         # Vectors too short for the weakest bound of these queries are not multiplied.
-        need = np.where(q_norms[some] > 0, bounds[some] / np.maximum(q_norms[some], 1e-300), -np.inf)
-        upto = int(np.searchsorted(-p_norms, -(need.min() * (1 - SLACK)), side="right")) if need.min() > 0 else len(p_norms)
+        least = need[some].min()
+        upto = int(np.searchsorted(-p_norms, -(least * (1 - SLACK)), side="right")) if least > 0 else len(p_norms)
+        counted(len(some) * upto)
         scores = _products(q[some], p[:upto])
         for j, i in enumerate(some.tolist()):
             yield result(i, np.arange(upto), scores[j])
@@ -155,16 +164,18 @@ def meet(query, bucket, k: int, coordinate_at: float, focus: int):
             x = unit[rows, f]
             # Where the cone around the query holds the axis (or its opposite) it has no bound on that side.
             rows = rows[((x >= qi[f] * t - reach) | (qi[f] <= -t)) & ((x <= qi[f] * t + reach) | (qi[f] >= t))]
+        counted(len(rows))
         yield result(i, rows, _products(q[i : i + 1], p[rows])[0] if len(rows) else np.zeros(0, dtype=np.int64))
 
 
-def _meetings(buckets: DataFrame, queries: DataFrame, k: int, coordinate_at: float, focus: int) -> DataFrame:
-    """Bucket by query block -> (query_id, vec_id, score), at most k rows per query and meeting."""
+def _meetings(pairs: DataFrame, k: int, coordinate_at: float, focus: int, products=None) -> DataFrame:
+    """(b_blob, q_blob) -> (query_id, vec_id, score), at most k rows per query and meeting."""
+    counted = None if products is None else products.add
 
     def run(batches):
         for batch in batches:
             for b, q in zip(batch.column("b_blob"), batch.column("q_blob")):
-                found = list(meet(_unpack(q.as_py()), _unpack(b.as_py()), k, coordinate_at, focus))
+                found = list(meet(_unpack(q.as_py()), _unpack(b.as_py()), k, coordinate_at, focus, counted))
                 if found:
                     n = [len(x[1]) for x in found]
                     yield pa.RecordBatch.from_arrays(
@@ -176,7 +187,6 @@ def _meetings(buckets: DataFrame, queries: DataFrame, k: int, coordinate_at: flo
                         names=["query_id", "vec_id", "score"],
                     )
 
-    pairs = buckets.join(queries, "q_block").where(F.col("b_longest") * F.col("q_longest") * (1 + SLACK) >= F.col("q_least"))
     return pairs.select("b_blob", "q_blob").mapInArrow(run, "query_id long, vec_id long, score long")
 
 
@@ -192,36 +202,53 @@ def top_k(
     block_rows: int = 1024,
     coordinate_at: float = 0.7,
     focus: int = 4,
+    products=None,
 ) -> DataFrame:
-    """query_id, rank, vec_id, score: the k largest integer inner products of each query."""
+    """query_id, rank, vec_id, score: the k largest integer inner products of each query.
+
+    ``products``: an accumulator that counts the inner products computed.
+    """
     rows = integer_vectors(vectors, vec_id, embedding, scale)
     length = F.when(F.col("norm") > 0, F.floor(F.log("norm") / math.log(ratio))).otherwise(F.lit(-(10**6))).cast("bigint")
     rows = stage(rows.withColumn("length", length), "topk-vectors")
+    seed_rows = max(bucket_rows, k + 1)
     # Norm classes are few (ratio steps between the shortest and the longest vector).
-    sizes = rows.groupBy("length").agg(F.ceil(F.count(F.lit(1)) / bucket_rows).cast("bigint").alias("n_buckets"))
+    sizes = rows.groupBy("length").agg(F.count(F.lit(1)).alias("n"))
+    longer = Window.orderBy(F.col("length").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(
+        "length",
+        F.ceil(F.col("n") / bucket_rows).cast("bigint").alias("n_buckets"),
+        (F.coalesce(F.sum("n").over(longer), F.lit(0)) < seed_rows).alias("reached"),
+    )
     placed = rows.join(sizes, "length").withColumn("sub", F.pmod(F.xxhash64("vec_id", F.lit(4)), F.col("n_buckets")))
-    # One number for (class, bucket in class); classes are whole numbers near zero.
-    placed = placed.withColumn("key", F.col("length") * (1 << 40) + F.col("sub"))
+    seed = F.col("reached") & (F.col("sub") < math.ceil(2 * seed_rows / bucket_rows))
+    # One number for (class, bucket in class, seed or not); classes are whole numbers near zero.
+    placed = placed.withColumn("key", (F.col("length") * (1 << 40) + F.col("sub")) * 2 + seed.cast("bigint"))
     buckets = stage(_blocks(placed.select("vec_id", "v", "norm", "key"), "key").select(F.col("block").alias("bucket"), F.col("longest").alias("b_longest"), F.col("blob").alias("b_blob")), "topk-buckets")
+    is_seed = F.pmod("bucket", F.lit(2)) == 1
 
     asked = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v", "norm")
     n_blocks = max(1, math.ceil(asked.count() / block_rows))
     asked = asked.withColumn("q_block", F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(n_blocks)))
 
     def blocks_of(queries: DataFrame) -> DataFrame:
-        least = queries.groupBy("q_block").agg(F.min("bound").alias("q_least"))
-        packed = _blocks(queries, "q_block").select(F.col("block").alias("q_block"), F.col("longest").alias("q_longest"), F.col("blob").alias("q_blob"))
-        return packed.join(least, "q_block")
+        return _blocks(queries, "q_block").select(F.col("block").alias("q_block"), F.col("longest").alias("q_longest"), F.col("blob").alias("q_blob"))
 
     each = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n_blocks - 1).cast("bigint"))).alias("q_block")
-    longest = buckets.agg(F.max("bucket")).scalar()
-    seed = buckets.where(F.col("bucket") == longest).select("b_longest", "b_blob", each)
     none = F.lit(float("-inf"))
-    first = _meetings(seed, blocks_of(asked.withColumn("bound", none)), k, coordinate_at, focus)
-    bounds = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score").cast("double")).alias("seen"))
-    bounded = asked.join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("bound", F.coalesce("seen", none)).drop("seen", "query_id")
-    met = _meetings(buckets.select("b_longest", "b_blob", each), blocks_of(bounded), k, coordinate_at, focus)
+    # Seed buckets are few: those of the longest classes up to seed_rows vectors, and two of the class that reaches them.
+    seeds = buckets.where(is_seed).select("b_blob", each).join(blocks_of(asked.withColumn("bound", none)), "q_block")
+    first = stage(_meetings(seeds, k, coordinate_at, focus, products), "topk-first")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
+    bounds = first.withColumn("rank", F.row_number().over(best)).where(F.col("rank") == k).select("query_id", F.col("score").cast("double").alias("seen"))
+    bounded = asked.join(bounds, F.col("vec_id") == F.col("query_id"), "left").withColumn("bound", F.coalesce("seen", none)).drop("seen", "query_id")
+    blocks = stage(blocks_of(bounded), "topk-queries").join(bounded.groupBy("q_block").agg(F.min("bound").alias("q_least")), "q_block")
+
+    rest = buckets.where(~is_seed)
+    lengths = rest.select("bucket", "b_longest", each).join(blocks.select("q_block", "q_longest", "q_least"), "q_block")
+    may = lengths.where(F.col("b_longest") * F.col("q_longest") * (1 + SLACK) >= F.col("q_least")).select("bucket", "q_block")
+    pairs = may.join(rest.select("bucket", "b_blob"), "bucket").join(blocks.select("q_block", "q_blob"), "q_block")
+    met = first.unionByName(_meetings(pairs, k, coordinate_at, focus, products))
     ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 

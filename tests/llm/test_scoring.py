@@ -86,6 +86,19 @@ def test_seating_tables_follow_the_restaurant_process():
 # ---------------------------------------------------------------- top-k
 
 
+def test_top_k_prunes_although_one_vector_is_an_outlier(spark):
+    """Every query gets a bound from the longest classes together; most products are never computed."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(3000, 8)) * np.exp(rng.normal(size=(3000, 1)))
+    v[1234] *= 1e4  # alone in its class, and longest by far
+    vectors = [(i, x.tolist()) for i, x in enumerate(v)]
+    products = spark.sparkContext.accumulator(0)
+    out = op4_topk.top_k(spark.createDataFrame(vectors, "vec_id long, embedding array<float>"), k=5, every=20, bucket_rows=128, products=products)
+    got = sorted(map(tuple, out.collect()))
+    assert got == sorted(brute_top_k(vectors, 5, 20))
+    assert products.value < 0.5 * 150 * 3000, products.value
+
+
 def brute_top_k(vectors, k, every):
     ok = {}
     for i, v in vectors:
