@@ -146,9 +146,11 @@ RULES = BASE_RULES + (
 )
 
 
-def plan_order(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[str]:
+def plan_order(docs: DataFrame, rules=RULES, sample_rows: int = 2000, have: tuple[str, ...] = ()) -> list[str]:
     """Rule names in cascade order, from at most ``sample_rows`` sampled documents.
 
+    Features in ``have`` cost nothing: they are columns already.
+
     The sample is the rows with the smallest hash of their id: a bounded,
     repeatable choice that only this estimate sees.  The hashes alone are ranked;
     texts are filtered by the last hash taken and never sorted.
@@ -163,7 +165,7 @@ def plan_order(docs: DataFrame, rules=RULES, sample_rows: int = 2000) -> list[st
     bits = sum((F.when(r.rejects(f), F.lit(1 << i)).otherwise(F.lit(0)) for i, r in enumerate(rules)), F.lit(0))
     seen = sample.groupBy(bits.alias("bits")).agg(F.count(F.lit(1)).alias("n"), F.sum("__chars").alias("chars")).collect()
     chars = sum(r["chars"] or 0 for r in seen) / max(1, sum(r["n"] for r in seen))
-    standing, order, left, known = [(r["bits"], r["n"]) for r in seen], [], list(range(len(rules))), set()
+    standing, order, left, known = [(r["bits"], r["n"]) for r in seen], [], list(range(len(rules))), set(have)
     while left:
 
         def gain(i: int) -> tuple[float, int]:
@@ -187,38 +189,48 @@ def verdict(order: list[str], rules, feature: dict[str, Column]) -> Column:
     return out
 
 
-def quality_cascade(docs: DataFrame, rules=RULES, sample_rows: int = 2000, out: str = "rejected_by") -> DataFrame:
-    """``docs`` with the name of the rejecting rule in ``out`` (null: kept)."""
-    order = plan_order(docs, rules, sample_rows)
-    lazy = {name: expression() for name, (expression, _) in FEATURES.items()}
+def quality_cascade(
+    docs: DataFrame,
+    rules=RULES,
+    sample_rows: int = 2000,
+    out: str = "rejected_by",
+    have: dict[str, str] | None = None,
+    order: list[str] | None = None,
+) -> DataFrame:
+    """``docs`` with the name of the rejecting rule in ``out`` (null: kept).
+
+    ``have`` names columns of ``docs`` that hold features already (feature -> column);
+    all others are computed inside the CASE, for documents that got there.  ``order``:
+    an order planned before.
+    """
+    have = have or {}
+    order = plan_order(docs, rules, sample_rows, tuple(have)) if order is None else order
+    lazy = {name: F.col(have[name]) if name in have else expression() for name, (expression, _) in FEATURES.items()}
     return docs.withColumn(out, verdict(order, rules, lazy))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    order = plan_order(docs)
-    split = docs.select("doc_id", "text", words().alias("w"))
-    features = split.select(
+    """The contract's columns are due for every document; what only rules use (``n_shouts``,
+    ``n_lines``) is left to the cascade."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    due = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    features = docs.select(
         "doc_id",
+        "text",
+        words().alias("w"),
+    ).select(
+        "doc_id",
+        "text",
         F.size("w").cast("bigint").alias("n_words"),
         F.length(F.array_join("w", "")).cast("bigint").alias("word_chars"),
-        *[FEATURES[f][0]().alias(f) for f in ("n_symbols", "n_shouts", "n_lines", "n_dup_lines")],
+        *[FEATURES[f][0]().alias(f) for f in ("n_symbols", "n_dup_lines")],
         F.transform("w", lambda w: F.xxhash64(w)).alias("h"),
     )
     features = features.select("*", _repeat_words(F.col("h")).alias("n_repeat_words")).drop("h")
-    f = {name: F.col(name) for name in FEATURES}
-    rejected = verdict(order, RULES, f)
+    judged = quality_cascade(features, have={f: f for f in due}, order=plan_order(docs, have=due))
+    f = {name: F.col(name) for name in due}
     base = BASE_RULES[0].rejects(f) | BASE_RULES[1].rejects(f)
-    return features.select(
-        "doc_id",
-        "n_words",
-        "word_chars",
-        "n_symbols",
-        "n_dup_lines",
-        "n_repeat_words",
-        base.alias("base_failed"),
-        rejected.isNull().alias("kept"),
-    )
+    return judged.select("doc_id", *due, base.alias("base_failed"), F.col("rejected_by").isNull().alias("kept"))
 
 
 ORACLE = r"""
