@@ -58,6 +58,16 @@ def test_language_model_does_not_depend_on_chunks(docs):
     assert a == b
 
 
+def test_language_model_seats_contexts_by_the_shared_parent(spark):
+    """Contexts dealt over many buckets are seated by the tables of all contexts, so scores keep."""
+    rng = random.Random(4)
+    word = lambda: f"w{int(rng.paretovariate(0.7)) % 400}"
+    docs = spark.createDataFrame([(i, " ".join(word() for _ in range(60))) for i in range(400)], "doc_id long, text string")
+    one, many = ({r["doc_id"]: r["score"] / r["n_tokens"] for r in op3_lm.score_corpus(docs, bucket_bytes=b, samples=8).collect()} for b in (16 << 20, 1500))
+    off = [abs(many[i] - one[i]) for i in one]
+    assert sum(off) / len(off) < 0.004
+
+
 def test_seating_keeps_its_books():
     seats = op3_lm.Seating(np.array([1, 2, 5, 64, 65, 3000]), 0.6, np.random.default_rng(3))
     for _ in range(5):
