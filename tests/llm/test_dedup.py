@@ -242,3 +242,14 @@ def test_hidden_hash_is_sparks(docs):
 def test_digest_of_kept_text(docs):
     r = op1_passages.remove_repeated_passages(docs).where("doc_id = 1").select(F.sha2("kept_text", 256).alias("h"), "kept_text").first()
     assert r["h"] == hashlib.sha256(r["kept_text"].encode()).hexdigest()
+
+
+def test_line_variants_are_gone_before_the_texts_travel_again(spark, docs):
+    """What the witnesses were read from does not lie beside the last exchange of the texts."""
+    from halflife import session as S
+
+    was = len(S._UNKEYED)
+    out = op2_lines.repeated_lines(docs)
+    left = [name for _, name, _ in S._UNKEYED[was:]]
+    assert not any(n.startswith("line-variants") for n in left) and "line-near" in left
+    assert out.where("n_removed > 0").count() > 0
