@@ -4,10 +4,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from halflife.llm import exchange as X
+from halflife.llm import text as T
 from halflife.llm import op1_passages, op2_lines, op6_suffixes, op7_near_dups
 from halflife.llm.components import connected_components, join_components
 
@@ -253,3 +256,26 @@ def test_line_variants_are_gone_before_the_texts_travel_again(spark, docs):
     left = [name for _, name, _ in S._UNKEYED[was:]]
     assert not any(n.startswith("line-variants") for n in left) and "line-near" in left
     assert out.where("n_removed > 0").count() > 0
+
+
+@pytest.mark.parametrize("lower", [False, True])
+def test_word_hashes_place_by_place_and_in_parts(lower):
+    """Words up to PLACES bytes are summed place by place, longer ones by themselves: one definition for both."""
+    words = [("aB%dé" % i * 40).encode()[:n] for i, n in enumerate([1, 5, T.PLACES - 1, T.PLACES, T.PLACES + 1, 3, 90, 200, 2, T.PLACES, 31])]
+    data = np.frombuffer(b" \n".join(words), dtype=np.uint8)
+    size = np.array([len(w) for w in words])
+    starts = np.cumsum(size + 2) - size - 2
+    code = T.BYTE_CODE[T.LOWER] if lower else T.BYTE_CODE
+    sums = np.array([(code[np.frombuffer(w, dtype=np.uint8)] * T.multipliers(len(w), 71)).sum() for w in words], dtype=np.uint64)
+    assert (T.word_hashes(data, starts, starts + size, lower) == T.mix(sums, 1)).all()
+    long = size > T.PLACES
+    assert (T._long_words(data, starts[long], (starts + size)[long], lower, part=100) == sums[long]).all()
+    assert len(T.word_hashes(data, starts[:0], starts[:0], lower)) == 0
+
+
+def test_lines_without_words_and_empty_texts():
+    table = pa.table([pa.array([1, 2, 3, 4]), pa.array([b"", b"a b\n\n c\td \n", None, b"\ne"], pa.large_binary())], names=["doc_id", "text"])
+    c = op2_lines._Lines(table)
+    assert c.n_lines.tolist() == [1, 4, 1, 2]
+    assert c.size.tolist() == [0, 2, 0, 2, 0, 0, 0, 1]
+    assert [c.words(i) for i in range(8)] == ["", "a b", "", "c d", "", "", "", "e"]
