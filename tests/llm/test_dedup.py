@@ -279,3 +279,17 @@ def test_lines_without_words_and_empty_texts():
     assert c.n_lines.tolist() == [1, 4, 1, 2]
     assert c.size.tolist() == [0, 2, 0, 2, 0, 0, 0, 1]
     assert [c.words(i) for i in range(8)] == ["", "a b", "", "c d", "", "", "", "e"]
+
+
+def test_a_waiting_worker_holds_no_freed_memory(monkeypatch):
+    """After its last batch each narrow map of the near duplicates gives its memory back."""
+    texts = pa.array(["one two three four five six"] * 3)
+    ids = pa.array([1, 2, 3], pa.int64())
+    batch = pa.RecordBatch.from_arrays([ids, texts, ids, texts, ids, ids, texts], names=["doc_id", "text", "th", "ta", "a", "c", "tc"])
+    rep = pa.RecordBatch.from_arrays([ids, texts], names=["rep", "text"])
+    for run, of in ((op7_near_dups._signatures(40, 5, 5), batch), (op7_near_dups._confirm(5, 75), batch), (op7_near_dups._shingles(5), rep)):
+        seen = []
+        monkeypatch.setattr(T, "trim", lambda: seen.append("trim"))
+        for _ in run(iter([of])):
+            seen.append("batch")
+        assert seen[-1] == "trim"
